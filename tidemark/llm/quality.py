@@ -149,9 +149,9 @@ def mcd(stats: DataFrame) -> DataFrame:
     """
     sizes = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("__rows"))
     name = F.to_json(F.struct(F.coalesce(F.col("lang"), F.lit("\u0000")).alias("l"), F.coalesce(F.col("source"), F.lit("\u0000")).alias("s")))
-    groups = cut(sizes.select("lang", "source", F.when(F.col("__rows") >= MIN_ROWS, name).otherwise(F.lit("*")).alias("grp")))
+    groups = cut(sizes.select("lang", "source", "__rows", F.when(F.col("__rows") >= MIN_ROWS, name).otherwise(F.lit("*")).alias("grp")))
     n_groups = groups.count()
-    thin = _join(stats.select("lang", "source", *FEATURES), groups, ["lang", "source"], n_groups).drop("lang", "source")
+    thin = _join(stats.select("lang", "source", *FEATURES), groups.drop("__rows"), ["lang", "source"], n_groups).drop("lang", "source")
     params = cut(_start(thin))
     products = [(f, g) for i, f in enumerate(FEATURES) for g in FEATURES[: i + 1]]
     terms = {"n": F.lit(1)} | {f"s_{f}": F.col(f) for f in FEATURES} | {f"s_{f}_{g}": F.col(f) * F.col(g) for f, g in products}
@@ -162,8 +162,7 @@ def mcd(stats: DataFrame) -> DataFrame:
         bands = near.groupBy("grp", "band").agg(*[F.sum(x).alias(k) for k, x in terms.items()])
         bands = bands.withColumn("__below", F.sum("n").over(by_group.orderBy("band")) - F.col("n")).withColumn("__all", F.sum("n").over(by_group))
         params = cut(_factor(bands.where(F.col("__below") < H * F.col("__all")).groupBy("grp").agg(*[F.sum(k).alias(k) for k in terms])))
-    pool = thin.where(F.col("grp") == "*").agg(F.count(F.lit(1)).alias("__pool"))
-    usable = groups.crossJoin(F.broadcast(pool)).where((F.col("grp") != "*") | (F.col("__pool") >= MIN_ROWS)).drop("__pool")  # pool: one row
+    usable = groups.withColumn("__in", F.sum("__rows").over(by_group)).where(F.col("__in") >= MIN_ROWS).drop("__in", "__rows")
     return cut(usable.join(small_side(params, n_groups), "grp"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import bpe, mixing, quality, secrets, simhash
 from .common import table
 
 
@@ -12,7 +14,32 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", "d2")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.groups(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.secrets(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return rows.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2("base_text", 256).alias("base_sha256"), F.col("spans_text").alias("spans"), "n_live", "n_example")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), ["doc_id"])
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op4_mixing": op4_mixing,
+    "op5_secrets": op5_secrets,
+    "op10_bpe": op10_bpe,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}
