@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, secrets, simhash
+from . import bpe, chat, embeddings, mixing, quality, secrets, simhash
 from .common import table
 
 
@@ -14,6 +19,35 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", "d2")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    chats = chat.format_chats(rows.unionByName(own), public_tokenizers.path("byte_bpe_50k.json"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for formatted, starts, ends, loss in zip(*[b.column(c) for c in ("formatted", "starts", "ends", "loss")], strict=True):
+                formatted = formatted.as_py()
+                turns = chat.read_back(formatted)
+                offsets = np.stack([starts.values.to_numpy(), ends.values.to_numpy()], 1)
+                under = chat.masked_text(formatted, offsets, loss.values.to_numpy(zero_copy_only=False).astype(bool))
+                digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+                got.append((len(turns), digest, len(under), hashlib.sha256(under.encode()).hexdigest(), len(formatted), int(np.sum(loss.values.to_numpy(zero_copy_only=False))), len(offsets)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "loss_tokens", "n_tokens"]
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), *[pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]], names)
+
+    return chats.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_tokens long, n_tokens long")
+
+
+def op2_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.range_join(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -36,6 +70,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_embedding_join": op2_embedding_join,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
