@@ -11,10 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, mixing, quality, secrets, simhash
+from . import bpe, chat, embeddings, licenses, mixing, quality, secrets, simhash
 from .common import table
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(table(spark, sf_dir, "documents"))
+    any_ = F.size("places") > 0
+    return rows.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.when(any_, F.array_min("places")).cast("long").alias("first_word"), F.when(any_, F.array_max("places")).cast("long").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), F.col("score").cast("double").alias("score"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select("doc_id", *quality.COUNTS, "base_failed", "kept", "d2")
 
@@ -76,6 +86,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
     "op10_bpe": op10_bpe,
+    "op7_licenses": op7_licenses,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}
