@@ -11,10 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, licenses, mixing, quality, secrets, simhash
+from . import bpe, chat, embeddings, licenses, mixing, pii, quality, secrets, simhash
 from .common import table
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return rows.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = licenses.scan(table(spark, sf_dir, "documents"))
     any_ = F.size("places") > 0
@@ -86,6 +92,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
     "op10_bpe": op10_bpe,
+    "op6_pii": op6_pii,
     "op7_licenses": op7_licenses,
     "op8_quality_rules": op8_quality_rules,
 }
