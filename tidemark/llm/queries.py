@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, licenses, mixing, pii, quality, secrets, simhash
+from . import bpe, chat, embeddings, licenses, mixing, pii, quality, secrets, simhash, toxicity
 from .common import table
 
 
@@ -80,6 +80,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2("base_text", 256).alias("base_sha256"), F.col("spans_text").alias("spans"), "n_live", "n_example")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), ["doc_id"])
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -91,6 +96,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
     "op6_pii": op6_pii,
     "op7_licenses": op7_licenses,
