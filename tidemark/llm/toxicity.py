@@ -34,6 +34,8 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 12, 8, 8
 #: Documents that a word or n-gram must occur in to be in the vocabulary.
 LEAST_WORD, LEAST_GRAM = 3, 4
 ROUNDS, EPOCHS, BATCH, RATE, DECAY = 3, 2, 256, 0.01, 1e-5
+#: Least steps of a round, for small samples; held-back toxic rows without which all rows set the calibration.
+LEAST_STEPS, LEAST_HELD = 60, 20
 LIMIT = 0.7
 #: Distinct words kept per worker; windows scored together.
 TABLE, BLOCK = 150_000, 2048
@@ -262,7 +264,7 @@ def train(texts: list[str], y: np.ndarray) -> Network | None:
             chosen += [(cuts[i][0][j], cuts[i][1][j]) for j in some]
             label += [float(y[i])] * len(some)
         windows, lengths, target = np.stack([c[0] for c in chosen]), np.array([c[1] for c in chosen]), np.array(label, np.float32)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(target)))):
             order = rng.permutation(len(target))
             for at in range(0, len(order), BATCH):
                 own = order[at : at + BATCH]
@@ -278,10 +280,11 @@ def train(texts: list[str], y: np.ndarray) -> Network | None:
                     s += 0.001 * (grad * grad - s)
                     v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
                 net.p["words"][0] = 0
-    # calibration on the held-back tenth: the cut with the best F1 (the middle between its neighbours) maps to LIMIT
+    # calibration on the held-back tenth (in a small sample, on all rows): the cut with the best F1 (the middle between its neighbours) maps to LIMIT
     table = net.gates([b"", *distinct])
-    best = np.array([x.max() for x, h in zip(np.split(net.logits(table, cuts), ends), held, strict=True) if h], float)
-    truth = y[held]
+    by = held if y[held].sum() >= LEAST_HELD else np.ones(len(y), bool)
+    best = np.array([x.max() for x, h in zip(np.split(net.logits(table, cuts), ends), by, strict=True) if h], float)
+    truth = y[by]
     if len(truth) and 0 < truth.sum() < len(truth):
         order = np.argsort(-best, kind="stable")
         hits = np.cumsum(truth[order])
