@@ -8,7 +8,7 @@ from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Unicode space separators (category Zs); tabs and line ends are not among them. Fixed values.
-ZS = "                　"
+ZS = "".join(map(chr, (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 
 
 def safe_div(num: Column, den: Column) -> Column:
