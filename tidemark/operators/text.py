@@ -17,7 +17,7 @@ from ..functions.semantics import fold_lower, trim_zs
 IMAGE = r"!\[[^\]]*\]\([^)]*\)"
 LINK = r"\[([^\]]*)\]\([^)]*\)"
 LINK_MARK = "\x01"
-_B = r"[\t\n\f\r  ]"
+_B = r"[\t\n\f\r \xA0]"
 NAVIGATION = rf"(?i)^{_B}*(Tables?({_B}*of{_B}*Contents?)?[.`]?{_B}*)?(Index{_B}+to{_B}+Financial{_B}+Statements?[.`]?{_B}*)?$"
 ABBREVIATIONS = (
     "Mr|Mrs|Ms|Dr|Jr|Sr|Prof|Rev|Gen|Sen|Rep|Gov|Lt|Col|Capt|Cmdr|Sgt|vs|etc|al|Inc|Corp|Co|Ltd|LLC|No|St|Ave|Blvd|Fig|Vol|pp|cf|"
