@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def blake2b8(text: str | None) -> str:
@@ -14,7 +15,7 @@ def blake2b8(text: str | None) -> str:
     return hashlib.blake2b((text or "").encode(), digest_size=8).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def content_hash(text: pd.Series) -> pd.Series:
     return text.map(blake2b8, na_action=None)
 

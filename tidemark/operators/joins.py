@@ -102,4 +102,5 @@ def grid(keys: DataFrame, periods: DataFrame, values: DataFrame, on: Sequence[st
 def regex_lexicon(texts: DataFrame, text: str, lexicon: dict[str, str]) -> DataFrame:
     """(text, term) for each term whose pattern is found; each distinct text is searched once."""
     hits = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(t)) for t, p in lexicon.items()]))
-    return texts.select(text).distinct().select(text, F.explode(hits).alias("term"))
+    # explode would have the optimizer infer a filter on the array, and so search every text twice
+    return texts.select(text).distinct().select(text, F.explode_outer(hits).alias("term")).where(F.col("term").isNotNull())

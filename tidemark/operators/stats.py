@@ -49,7 +49,7 @@ def ols(df: DataFrame, y: str, x: Sequence[str], cluster: str | None = None) ->
         meat = np.array([[row[f"m{i}_{j}"] for j in range(k)] for i in range(k)])
         v = inverse @ meat @ inverse * (row.g / max(row.g - 1, 1)) * ((n - 1) / max(n - k, 1))
     se = np.sqrt(np.maximum(np.diag(v), 0))
-    r2 = 1 - rss / tss if tss > 0 else None
+    r2 = float(1 - rss / tss) if tss > 0 else None
     return [{"term": t, "coef": float(c), "se": float(s), "t": float(c / s) if s > 0 else None, "n": n, "r2": r2} for t, c, s in zip(["const", *x], b, se, strict=True)]
 
 
@@ -87,7 +87,7 @@ def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = ()) -> DataFra
     n = F.count(p).over(Window.partitionBy(*by))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(p))
     df = df.withColumn("__q", F.col(p) * n / rank)
-    down = Window.partitionBy(*by).orderBy(F.col(p).desc(), F.col("__q").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by).orderBy(F.col(p).desc(), F.col("__q").asc()).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("q_value", F.least(F.lit(1.0), F.min("__q").over(down))).drop("__q")
 
 

@@ -20,8 +20,8 @@ def keep_latest_group(df: DataFrame, by: Sequence[str], version: Sequence[str])
 
 def latest_positive(df: DataFrame, by: Sequence[str], positive: Column, version: Sequence[str]) -> DataFrame:
     """The newest positive rows of a key if it has any, else its newest rows."""
-    some = F.max(positive).over(Window.partitionBy(*by))
-    return keep_latest_group(df.where(positive | ~some), by, version)
+    df = df.withColumn("__pos", F.coalesce(positive, F.lit(False))).withColumn("__some", F.max("__pos").over(Window.partitionBy(*by)))
+    return keep_latest_group(df.where("__pos OR NOT __some").drop("__pos", "__some"), by, version)
 
 
 def islands(df: DataFrame, by: Sequence[str], order: Sequence[str], fresh: Column, name: str = "island") -> DataFrame:
