@@ -165,6 +165,7 @@ def links(members: DataFrame, cosine: float, radius: float) -> tuple[DataFrame,
 def range_join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     radius = float(np.sqrt(2 - 2 * cosine))
+    vectors = vectors.select("vec_id", "embedding", "label")
     reps = distinct_vectors(vectors)
     degrees, edges = links(cells(reps, radius), cosine, radius)
     roots = connected(edges)

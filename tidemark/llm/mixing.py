@@ -148,9 +148,10 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), shards: int = SHARDS
 def mixture(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs' rows as often as they are taken, plus shard and position (order within the shard), ready to be written.
 
-    A draw is one pass over one block; a source's draws, in their own order, go to the shards by quota.
+    A draw is one pass over one block; a source's draws, in their own order, go to the shards by quota. Columns of docs
+    that are named shard or position give way.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    keyed = docs.drop("shard", "position").withColumn("__key", F.xxhash64("doc_id", "text"))
     per_doc, quotas = mix(keyed, keep=("doc_id", "__key"), shards=shards)
     per_doc = per_doc.where("copies > 0").groupBy("doc_id", "__key", "source", "block").agg(F.max("copies").alias("copies"), F.min("h").alias("h"))
     draws = per_doc.select("source", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("pass_"), "doc_id", "__key", "h")

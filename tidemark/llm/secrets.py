@@ -82,8 +82,11 @@ def extra_spans(text: str) -> list[Span]:
         out += [(m.start(), m.end(), "jwt", m[0]) for m in JWT.finditer(text)]
     if "://" in text:
         out += [(m.start(1), m.end(1), "url_password", m[1]) for m in URL_PASSWORD.finditer(text)]
+    named = list(out)
     for m in OPAQUE.finditer(text) if _OPAQUE_RUN in text.encode().translate(_IS_OPAQUE) else ():
         v = m[0]
+        if any(a < m.end() and m.start() < b for a, b, _, _ in named):
+            continue
         if any(c.isdigit() for c in v) and any(c.isupper() for c in v) and any(c.islower() for c in v) and entropy(v) >= 4.0:
             out.append((m.start(), m.end(), "opaque", v))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
