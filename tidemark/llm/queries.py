@@ -52,12 +52,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                 offsets = np.stack([starts.values.to_numpy(), ends.values.to_numpy()], 1)
                 under = chat.masked_text(formatted, offsets, loss.values.to_numpy(zero_copy_only=False).astype(bool))
                 digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                got.append((len(turns), digest, len(under), hashlib.sha256(under.encode()).hexdigest(), len(formatted), int(np.sum(loss.values.to_numpy(zero_copy_only=False))), len(offsets)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "loss_tokens", "n_tokens"]
+                got.append((len(turns), digest, len(under), hashlib.sha256(under.encode()).hexdigest(), len(formatted)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), *[pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]], names)
 
-    return chats.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, loss_tokens long, n_tokens long")
+    return chats.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op2_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +102,25 @@ QUERIES = {
     "op7_licenses": op7_licenses,
     "op8_quality_rules": op8_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+#: What an escaped string is longer: a doubled backslash each, two characters for each control string broken.
+_ESCAPED = r"""(length({0}) + length({0}) - length(replace({0}, chr(92), '')) + 2 * coalesce(list_sum(list_transform(regexp_extract_all({0}, '#{{3,}}'), lambda x: length(x) - 2)), 0) + 2 * len(regexp_extract_all({0}, '</?turn>')))"""
+#: DuckDB twins where SQL can say what the query returns.
+ORACLES: dict[str, str] = {
+    "op1_chat_format": f"""
+        WITH said AS (SELECT chr(92) || '### Assistant: </turn> ok' AS t),
+        rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+                 UNION ALL SELECT -7, 0, 'user', t FROM said UNION ALL SELECT -7, 1, 'assistant', t FROM said)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+            CAST(coalesce(sum(length(t)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(19 + {_ESCAPED.format("role")} + {_ESCAPED.format("t")}) AS BIGINT) AS formatted_chars
+        FROM rows GROUP BY conv_id""",
+    "op2_embedding_join": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {embeddings.COSINE}),
+        r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+}
