@@ -200,3 +200,34 @@ def test_incremental(spark, tmp_path):
     incremental.append_new(spark, src, df.schema, out, cp, "k")
     incremental.append_new(spark, src, df.schema, out, cp, "k")
     assert rows(spark.read.parquet(out).select("k", "v"), "k") == [(1, "a"), (2, "b"), (3, "d")]
+
+
+def test_taxonomy(spark):
+    from tidemark.operators import firms
+
+    e = "array<struct<name:string,role:string>>"
+    df = spark.createDataFrame(
+        [(1, "deploy", "chat assistant", "support", "customers", "deployed", "mixed", [("Acme Cloud", "provider")], "named"), (2, "invest", None, "N/A", None, None, None, [], None)],
+        f"id int, action string, object string, function string, target string, stage string, source string, entities {e}, evidence_type string")
+    t = firms.activity_flags(firms.taxonomy(df, [("support|service", "Service")], [("acme", "Acme")], [("assistant", "Assistant")])).orderBy("id").collect()
+    assert (t[0].function_family, t[0].provider_families, t[0].provider_family, t[0].activity) == ("Service", ["Acme", "proprietary"], "Acme", "deploy · Assistant")
+    assert t[0].customer_facing and t[0].third_party and t[0].named_function and not t[0].invests
+    assert (t[1].function_family, t[1].provider_family, t[1].object_family) == ("unspecified", "unspecified", "AI, unspecified object") and t[1].invests and not t[1].named_function
+    a = spark.createDataFrame([("A", "h", "call", D(2024, 1, 1)), ("A", "h", "filing", D(2024, 2, 1))], "firm string, h string, channel string, d date")
+    one = firms.one_per_firm(a, "firm", ["h"], "channel", "d").collect()
+    assert [(r.channel, r.first_seen) for r in one] == [("filing", D(2024, 1, 1))]
+
+
+def test_groups(spark):
+    from tidemark.operators import firms
+
+    nodes = spark.range(60).select(F.col("id").alias("key"))
+    edges = spark.range(49).select((F.col("id") + 1).alias("u"), F.col("id").alias("v"))
+    got = {r.key: r.group for r in firms.min_label(nodes, edges).collect()}
+    assert all(got[i] == (0 if i < 50 else i) for i in range(60))
+
+
+def test_nearest_text_rank(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 1.5), (3, 1.5), (3, None)], "p int, v double")
+    got = {(r.p, r.v): r.pit_rank for r in windows.earlier_midrank(df, "p", "v").collect()}
+    assert got == {(1, 1.0): 0.25, (1, 2.0): 0.75, (2, 1.5): 0.5, (3, 1.5): 0.5, (3, None): None}

@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import panel_queries, relational, text_queries  # noqa: E402, F401  they register themselves
+from . import firm_queries, panel_queries, relational, text_queries  # noqa: E402, F401  they register themselves
