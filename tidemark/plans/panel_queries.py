@@ -111,7 +111,7 @@ def concept_fallback(spark: SparkSession, d: str) -> DataFrame:
     return P.concept_fallback(o, ["k"], "c", "v", ["1-URGENT", "2-HIGH", "3-MEDIUM"])
 
 
-@query("SELECT s_suppkey, round(s_acctbal * 0.79 / nullif(greatest(s_nationkey * 1000.0, 0), 0), 6) AS roic, round(CASE WHEN s_nationkey > 0 THEN 0.6 * 0.09 + 0.4 * 0.05 * 0.79 END, 6) AS wacc FROM supplier")
+@query("SELECT s_suppkey, round(s_acctbal * 0.79 / nullif(greatest(s_nationkey * 1000.0, 0), 0), 6) AS roic, round(CASE WHEN s_nationkey > 0 THEN CAST(0.6 * 0.09 + 0.4 * 0.05 * 0.79 AS DOUBLE) END, 6) AS wacc FROM supplier")
 def value_creation(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.lit(0.21).alias("t"), (F.col("s_nationkey") * 600.0).alias("e"), (F.col("s_nationkey") * 400.0).alias("d"), F.lit(0.09).alias("ke"), F.lit(0.05).alias("kd"))
     return P.value_creation(s, "s_acctbal", "t", "e", "d", "ke", "kd").select("s_suppkey", F.round("roic", 6).alias("roic"), F.round("wacc", 6).alias("wacc"))

@@ -358,7 +358,7 @@ def agg_period_bucket(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month")).agg(F.count(F.lit(1)).alias("n")).where("n >= 30")
 
 
-@query("SELECT lang, count(*) AS n, sum(CASE WHEN p AND y THEN w END) AS tp, round(sum(CASE WHEN p AND y THEN w ELSE 0 END) / nullif(sum(CASE WHEN p THEN w ELSE 0 END), 0), 6) AS precision_, round(sum(CASE WHEN p AND y THEN w ELSE 0 END) / nullif(sum(CASE WHEN y THEN w ELSE 0 END), 0), 6) AS recall FROM (SELECT lang, n_chars > 1500 AS p, quality = 1 AS y, 1.0 + doc_id % 3 AS w FROM documents JOIN labels USING (doc_id)) GROUP BY 1")
+@query("SELECT lang, count(*) AS n, sum(CASE WHEN p AND y THEN w END) AS tp, round(sum(CASE WHEN p AND y THEN w ELSE 0 END) / nullif(sum(CASE WHEN p THEN w ELSE 0 END), 0), 6) AS precision_, round(sum(CASE WHEN p AND y THEN w ELSE 0 END) / nullif(sum(CASE WHEN y THEN w ELSE 0 END), 0), 6) AS recall FROM (SELECT lang, n_chars > 1500 AS p, quality = 1 AS y, CAST(1 + doc_id % 3 AS DOUBLE) AS w FROM documents JOIN labels USING (doc_id)) GROUP BY 1")
 def agg_weighted_confusion(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("lang", (F.col("n_chars") > 1500).alias("p"), (F.col("quality") == 1).alias("y"), (1.0 + F.col("doc_id") % 3).alias("w"))
     s = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0.0))
