@@ -28,7 +28,7 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in at["simhash_near_dedup"].collect()) == sorted(heads)
     clean = {r.doc_id: r.text for r in at["secret_scan"].collect()}
     assert set(clean) == heads
-    copies = {r.doc_id: r.copies for r in mixing.mix(at["secret_scan"])[0].collect()}
+    copies = {r.doc_id: r.copies for r in mixing.mix(at["secret_scan"]).collect()}
     mixed = Counter(r.doc_id for r in at["source_mix"].collect())
     assert mixed == Counter({k: v for k, v in copies.items() if v})
     ours = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.tokenizer(P.path("byte_bpe_50k.tiktoken")).ranks, special_tokens={})

@@ -108,11 +108,28 @@ def split_tree(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
     return node.select("shard", F.explode("q").alias("x")).select("x.source", "shard", "x.quota")
 
 
-def _plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def deal(blocks: DataFrame, shards: int) -> DataFrame:
+    """source, block, shards: the shards that the tree gives a block's draws to, pass by pass.
+
+    blocks: source, block, passes, part. A draw is one pass over one block. A source's draws, in their own order, go to
+    the shards by the tree's quotas, the next unused ones to each.
+    """
+    own = blocks.withColumn("n", (F.col("passes") + F.when(F.col("part") != 0, 1).otherwise(0)).cast("long")).where("n > 0")
+    quotas = split_tree(own.groupBy("source").agg(F.sum("n").alias("quota")), shards)
+    ends = F.sum("quota").over(Window.partitionBy("source").orderBy("shard"))
+    bounds = quotas.select(F.col("source").alias("__s"), "shard", "quota", ends.alias("upto")).where("quota > 0")
+    draws = own.select("source", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("pass_"))
+    draws = draws.withColumn("draw", F.row_number().over(Window.partitionBy("source").orderBy("pass_", _unit(F.lit("draw"), "source", "block", "pass_"), "block")))
+    dealt = draws.join(bounds, F.col("source").eqNullSafe(F.col("__s")) & (F.col("draw") <= F.col("upto")) & (F.col("draw") > F.col("upto") - F.col("quota")))
+    in_order = F.array_sort(F.collect_list(F.struct("pass_", "shard")))  # three at most
+    return dealt.groupBy("source", "block").agg(F.transform(in_order, lambda x: x["shard"]).alias("shards"))
+
+
+def _plan(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     """The documents' thin rows with their block, and what is taken of each block.
 
-    rows: doc_id, source, size, h. Blocks: source, block, source_size, target, passes, part (the words that a last,
-    partial pass takes of this block; -1 for all) and place (position in the source's order).
+    rows: source, size, h and more. Blocks: source, block, part (the words that a last, partial pass takes of this
+    block; -1 for all, 0 for none) and shards (one for each draw of the block, the partial one last).
     """
     per = cut(targets(rows))
     right = small_side(per.withColumnRenamed("source", "__s"))
@@ -122,46 +139,37 @@ def _plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("source").orderBy(_unit(F.lit("order"), "source", "block"), "block")
     passes = F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(int(MOST)))
     blocks = blocks.withColumn("passes", passes).withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0)))
-    upto = F.sum("words").over(order)
-    blocks = blocks.withColumn("place", F.row_number().over(order)).withColumn("__room", F.col("rest") - (upto - F.col("words")))
+    blocks = blocks.withColumn("__room", F.col("rest") - (F.sum("words").over(order) - F.col("words")))
     part = F.when(F.col("__room") >= F.col("words"), -1.0).when(F.col("__room") > 0, F.col("__room")).otherwise(0.0)
-    return docs, cut(blocks.withColumn("part", part).select("source", "block", "passes", "part", "place"))
+    blocks = cut(blocks.withColumn("part", part).select("source", "block", "passes", "part"))
+    dealt = deal(blocks, shards).select(F.col("source").alias("__s"), F.col("block").alias("__b"), "shards")
+    blocks = blocks.join(dealt, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left")
+    return docs, cut(blocks.select("source", "block", "part", "shards"))
 
 
-def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(per document: keep, source, size, source_size, target, copies, block, h; per source and shard: quota of blocks)."""
-    rows = docs.select(*keep, F.col("source"), n_words(F.col("text")).alias("size"), _unit("doc_id", "text").alias("h"))
-    rows = cut(rows)
-    dealt, blocks = _plan(rows)
-    right = blocks.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "passes", "part")
+def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), shards: int = SHARDS) -> DataFrame:
+    """Per document: keep, source, size, source_size, target, copies, shards (one for each copy) and h."""
+    rows = cut(docs.select(*keep, F.col("source"), n_words(F.col("text")).alias("size"), _unit("doc_id", "text").alias("h")))
+    dealt, blocks = _plan(rows, shards)
+    right = blocks.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "part", "shards")
     out = dealt.join(right, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left").drop("__s", "__b")
     # in the one block of a source where its target falls, documents are taken while more than half of each fits
     within = Window.partitionBy("source", "block").orderBy("h", *[F.col(c) for c in keep], "size")
     some = out.where("part > 0")
-    some = some.withColumn("__more", F.when(F.sum("size").over(within) - F.col("size") / 2 <= F.col("part"), 1).otherwise(0))
-    rest = out.where("part <= 0 or part is null").withColumn("__more", F.when(F.col("part") < 0, 1).otherwise(0))
-    out = rest.unionByName(some).withColumn("copies", (F.coalesce("passes", F.lit(0)) + F.col("__more")).cast("long"))
-    taken = blocks.groupBy("source").agg(F.sum(F.col("passes") + F.when(F.col("part") != 0, 1).otherwise(0)).cast("long").alias("quota"))
-    return out.select(*keep, "source", "size", "source_size", "target", "copies", "block", "h"), split_tree(taken, shards)
+    some = some.withColumn("__less", F.when(F.sum("size").over(within) - F.col("size") / 2 <= F.col("part"), 0).otherwise(1))
+    out = out.where("part <= 0 or part is null").withColumn("__less", F.lit(0)).unionByName(some)
+    got = F.coalesce("shards", F.array().cast("array<int>"))
+    out = out.withColumn("shards", F.slice(got, 1, F.size(got) - F.col("__less")))
+    return out.select(*keep, "source", "size", "source_size", "target", F.size("shards").cast("long").alias("copies"), "shards", "h")
 
 
 def mixture(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs' rows as often as they are taken, plus shard and position (order within the shard), ready to be written.
 
-    A draw is one pass over one block; a source's draws, in their own order, go to the shards by quota. Columns of docs
-    that are named shard or position give way.
+    Columns of docs that are named shard or position give way. Rows with the same doc_id and text share their draws.
     """
     keyed = docs.drop("shard", "position").withColumn("__key", F.xxhash64("doc_id", "text"))
-    per_doc, quotas = mix(keyed, keep=("doc_id", "__key"), shards=shards)
-    per_doc = per_doc.where("copies > 0").groupBy("doc_id", "__key", "source", "block").agg(F.max("copies").alias("copies"), F.min("h").alias("h"))
-    draws = per_doc.select("source", "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("pass_"), "doc_id", "__key", "h")
-    units = draws.select("source", "block", "pass_").distinct()
-    place = F.row_number().over(Window.partitionBy("source").orderBy("pass_", _unit(F.lit("draw"), "source", "block", "pass_")))
-    ends = F.sum("quota").over(Window.partitionBy("source").orderBy("shard"))
-    bounds = quotas.select(F.col("source").alias("__s"), "shard", "quota", ends.alias("upto")).where("quota > 0")
-    units = units.withColumn("place", place)
-    dealt = units.join(bounds, F.col("source").eqNullSafe(F.col("__s")) & (F.col("place") <= F.col("upto")) & (F.col("place") > F.col("upto") - F.col("quota")))
-    dealt = cut(dealt.select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("pass_").alias("__p"), "shard"))
-    at = draws.join(dealt, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")) & (F.col("pass_") == F.col("__p")))
-    at = at.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), "shard", _unit(F.lit("position"), "h", "pass_").alias("position"))
+    taken = mix(keyed, keep=("doc_id", "__key"), shards=shards).where("copies > 0").groupBy("doc_id", "__key").agg(F.max("shards").alias("shards"), F.min("h").alias("h"))
+    at = taken.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), "h", F.posexplode("shards").alias("__copy", "shard"))
+    at = at.select("__id", "__k", "shard", _unit(F.lit("position"), "h", "__copy").alias("position"))
     return keyed.join(at, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k"))).drop("__id", "__k", "__key")

@@ -70,8 +70,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    shards = F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", shards)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
