@@ -72,3 +72,17 @@ def earlier_midrank(df: DataFrame, period: str, value: str) -> DataFrame:
     rank = both.withColumn("__upto", upto).withColumn("__all", F.sum(F.coalesce("__n", F.lit(0))).over(Window.partitionBy("__at")))
     rank = rank.where("__asked > 0").withColumn("pit_rank", F.when(F.col("__all") > 0, (2 * F.col("__upto") - F.coalesce("__n", F.lit(0))) / (2 * F.col("__all")))).select("__at", "__v", "pit_rank")
     return df.join(rank, (F.col(period) == F.col("__at")) & (F.col(value) == F.col("__v")), "left").drop("__at", "__v")
+
+
+def guarded_growth(df: DataFrame, by: Sequence[str], day: str, value: str, gap: tuple[int, int] = (340, 380)) -> DataFrame:
+    """Growth on the row before, only where the days between lie within `gap` and the base is positive."""
+    w = Window.partitionBy(*by).orderBy(day)
+    base, days = F.lag(value).over(w), F.datediff(F.col(day), F.lag(day).over(w))
+    return df.withColumn("growth", F.when(days.between(*gap) & (base > 0), F.col(value) / F.when(base > 0, base) - 1))
+
+
+def ttm_consecutive(df: DataFrame, by: Sequence[str], quarter: str, value: str) -> DataFrame:
+    """Sum of a row and the three before it where the four quarters (ordinals) are consecutive, else null."""
+    w = Window.partitionBy(*by).orderBy(quarter)
+    whole = F.col(quarter) - F.lag(quarter, 3).over(w) == 3
+    return df.withColumn("ttm", F.when(whole, F.sum(value).over(w.rowsBetween(-3, 0))))

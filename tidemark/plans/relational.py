@@ -510,3 +510,22 @@ def snapshot_compare(spark: SparkSession, d: str) -> DataFrame:
         return table(spark, d, "orders").where(F.col("o_orderkey") % m != 0).groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
 
     return compare_snapshots(at(7), at(5), ["k"], "v", 0.25).select("k", "state")
+
+
+@query("WITH x AS (SELECT o_custkey AS k, max(CAST(o_orderdate AS DATE)) AS d, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY o_custkey, year(o_orderdate)) SELECT k, d, round(CASE WHEN date_diff('day', lag(d) OVER w, d) BETWEEN 340 AND 380 AND lag(v) OVER w > 0 THEN v / lag(v) OVER w - 1 END, 6) AS growth FROM x WINDOW w AS (PARTITION BY k ORDER BY d)")
+def win_growth_gap_guard(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y")).agg(F.max(_day()).alias("d"), F.round(F.sum("o_totalprice"), 2).alias("v"))
+    return W.guarded_growth(x, ["k"], "d", "v").select("k", "d", F.round("growth", 6).alias("growth"))
+
+
+@query("WITH x AS (SELECT o_custkey AS k, CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INT) AS q, count(*) AS n FROM orders GROUP BY 1, 2) SELECT k, q, CAST(CASE WHEN q - lag(q, 3) OVER w = 3 THEN sum(n) OVER (PARTITION BY k ORDER BY q ROWS 3 PRECEDING) END AS BIGINT) AS ttm FROM x WINDOW w AS (PARTITION BY k ORDER BY q)")
+def win_ttm_consecutive(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k"), S.quarter_ordinal(F.col("o_orderdate")).alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    return W.ttm_consecutive(x, ["k"], "q", "n").select("k", "q", "ttm")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F' AND (o_orderpriority IN ('1-URGENT', '2-HIGH') OR (o_orderpriority = '3-MEDIUM' AND o_totalprice > 100000))")
+def trigger_population(spark: SparkSession, d: str) -> DataFrame:
+    tags = F.array(F.col("o_orderpriority"))
+    hit = lambda *v: F.arrays_overlap(tags, F.array(*[F.lit(x) for x in v]))
+    return table(spark, d, "orders").where((F.col("o_orderstatus") == "F") & (hit("1-URGENT", "2-HIGH") | (hit("3-MEDIUM") & (F.col("o_totalprice") > 100000)))).select("o_custkey", "o_orderkey")
