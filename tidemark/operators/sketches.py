@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, SHINGLE = 256, 5
@@ -17,21 +17,27 @@ def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.slice(F.sort_array(F.array_distinct(shingles)), 1, K).alias("sketch"), F.size("__w").alias("n_words"))
 
 
+def jaccard(s: str, t: str) -> Column:
+    """Share of the K smallest values of two sketches' union that both hold; null if both are empty."""
+    union = F.slice(F.array_sort(F.array_union(s, t)), 1, K)
+    return F.size(F.array_intersect(union, F.array_intersect(s, t))) / F.nullif(F.size(union), F.lit(0))
+
+
 def sketch_pairs(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """Pairs of different sketches with Jaccard similarity of at least `least`, by their smallest keys, and rows of each.
 
-    Equal sketches are merged first, so copies make no pairs. Prefix filtering finds the candidates: ordered by
-    rarity, sets that similar share one of their first (1 - least) n + 1 values.
+    Similarity is the share of the K smallest hashes of the union that both hold. Equal sketches are merged first, so
+    copies make no pairs. Prefix filtering finds the candidates: the union's K smallest are no fewer than either sketch,
+    so a pair shares least * n of the values of each, and, ordered by rarity, one of the first (1 - least) n + 1.
     """
     one = sketches(df, key, text).groupBy("sketch").agg(F.min(key).alias("a"), F.count(F.lit(1)).alias("rows"), F.max("n_words").alias("n_words")).where("n_words > 0").drop("n_words")
     # the outer form: for the inner one a filter on the array's size is inferred and computes the sketch once more
     values = one.select("a", F.explode_outer("sketch").alias("v"))
     rare = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    prefix = F.size("o") - F.ceil(F.size("o") * least) + 1
+    prefix = F.size("o") - F.ceil(F.size("o") * least - 1e-9) + 1
     ordered = values.join(rare, "v").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("o"))
     keys = ordered.select("a", F.explode(F.slice("o", 1, prefix.cast("int"))).alias("x")).select("a", F.col("x.v").alias("v"), F.col("x.n").alias("n")).where("n > 1")
     found = keys.select("v", "a").join(keys.select("v", F.col("a").alias("b")), "v").where("a < b").select("a", "b").distinct()
     x, y = one.select("a", F.col("sketch").alias("s"), F.col("rows").alias("rows_a")), one.select(F.col("a").alias("b"), F.col("sketch").alias("t"), F.col("rows").alias("rows_b"))
     both = found.join(x, "a").join(y, "b")
-    jaccard = F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t"))
-    return both.withColumn("similarity", jaccard).where(F.col("similarity") >= least).select("a", "b", "rows_a", "rows_b", F.round("similarity", 6).alias("similarity"))
+    return both.withColumn("similarity", jaccard("s", "t")).where(F.col("similarity") >= least).select("a", "b", "rows_a", "rows_b", F.round("similarity", 6).alias("similarity"))
