@@ -49,3 +49,20 @@ def test_pairs_of_unequal_length(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {(r.a, r.b): r.similarity for r in sketches.sketch_pairs(df, "id", "text", 0.8).collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_classes_hold_every_row(spark, texts):
+    rng = random.Random(4)
+    base = [f"v{rng.randrange(5000)}" for _ in range(500)]
+    near = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(0, 500, 25)]
+    rows = [*texts, *near, *["one text in many copies and nothing else near it"] * 50, "", None, "...", ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    got = {r.id: r["class"] for r in sketches.sketch_classes(df, "id", "text", 0.8).collect()}
+    have = [i for i, t in enumerate(rows) if (t or "").strip(".")]
+    want = list(range(len(rows)))
+    pairs = [(have[i], have[j]) for i, j in brute([rows[i] for i in have], 0.8)]
+    pairs += [(i, j) for i in have for j in have if i < j and sorted(shingles(rows[i]))[:256] == sorted(shingles(rows[j]))[:256]]
+    for _ in range(50):
+        for i, j in pairs:
+            want[i] = want[j] = min(want[i], want[j])
+    assert [got[i] for i in range(len(rows))] == want
