@@ -38,11 +38,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+PRIVATE_KEY = re.compile(r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----")
+#: What follows the header of a key that has no END line: its own headers, long pieces, and a short padded one.
+KEY_BODY = re.compile(r"(?:\s*+[A-Za-z-]{1,40}: [^\n]*+\n)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{1,15}+={1,2})?")
+KEY_SPACE = re.compile(r"\s|\\[nr]")
 VENDOR = re.compile(r"(?:gh[opsur]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35})")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-URL_PASSWORD = re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{6,128})@")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{28,128}(?![A-Za-z0-9+/_-])")
+URL_PASSWORD = re.compile(r"://[^\s:/@]++:([^\s:/@]{6,}+)@")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{28,}+")
 PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your|x{6}|\.{3}|1234567", re.I)
 _IS_HEX = bytes(1 if chr(i) in "0123456789abcdef" else 0 for i in range(256))
 _HEX_RUN = bytes([1]) * 32
@@ -70,12 +73,32 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def private_keys(text: str) -> list[Span]:
+    """From BEGIN to END, or over what looks like the key where no END comes before the next BEGIN.
+
+    The header alone is the same everywhere: the value is the body without white space, as copies break lines elsewhere.
+    Where no body follows the header, the span is the header and the value the text behind it.
+    """
+    out: list[Span] = []
+    heads = list(PRIVATE_KEY.finditer(text))
+    for m, following in zip(heads, [*[h.start() for h in heads[1:]], len(text)], strict=True):
+        foot = f"-----END {m[1]}PRIVATE KEY-----"
+        at = text.find(foot, m.end(), following)
+        if at >= 0:
+            body, end = text[m.end() : at], at + len(foot)
+        elif found := KEY_BODY.match(text, m.end(), following):
+            body, end = found[0], found.end()
+        else:
+            body, end = text[m.end() : m.end() + 200], m.end()
+        out.append((m.start(), end, "private_key", KEY_SPACE.sub("", body)))
+    return out
+
+
 def extra_spans(text: str) -> list[Span]:
     """Candidates of the other kinds; what lies within a base span is left to it by the caller."""
     out: list[Span] = []
     if "PRIVATE KEY" in text:
-        # the header alone is the same everywhere: what follows it is the value
-        out += [(m.start(), m.end(), "private_key", text[m.end() : m.end() + 200]) for m in PRIVATE_KEY.finditer(text)]
+        out += private_keys(text)
     if any(w in text for w in ("gho_", "ghp_", "ghs_", "ghu_", "ghr_", "xox", "sk_live_", "AIza")):
         out += [(m.start(), m.end(), "vendor_token", m[0]) for m in VENDOR.finditer(text)]
     if "eyJ" in text:
@@ -85,7 +108,7 @@ def extra_spans(text: str) -> list[Span]:
     named = list(out)
     for m in OPAQUE.finditer(text) if _OPAQUE_RUN in text.encode().translate(_IS_OPAQUE) else ():
         v = m[0]
-        if any(a < m.end() and m.start() < b for a, b, _, _ in named):
+        if any(a <= m.start() and m.end() <= b for a, b, _, _ in named):
             continue
         if any(c.isdigit() for c in v) and any(c.isupper() for c in v) and any(c.islower() for c in v) and entropy(v) >= 4.0:
             out.append((m.start(), m.end(), "opaque", v))
