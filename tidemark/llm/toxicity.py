@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A text's words are cut into overlapping windows of WINDOW words, STRIDE apart, that cover the whole text. A word enters
+A text's words are cut into overlapping windows of WINDOW words, STRIDE apart, that cover the whole text. A word of over
+PIECE bytes (text without blanks, say) enters as overlapping pieces, each a word of its own. A word enters
 as the sum of two inputs: its own embedding (if it is in the vocabulary) and the mean embedding of its character
 n-grams. One gated recurrent unit reads a window forwards, one backwards; attention pools their states, and a logistic
 unit scores the window. A document's score is its likeliest window's, calibrated.
@@ -39,16 +40,22 @@ LEAST_STEPS, LEAST_HELD = 60, 20
 LIMIT = 0.7
 #: Distinct words kept per worker; windows scored together.
 TABLE, BLOCK = 150_000, 2048
+#: Bytes of a piece of a long word, and from one piece to the next: runs of PIECE - STEP + 1 bytes lie whole in a piece.
+PIECE, STEP = 64, 48
 _WORD = bytes(32 if i <= 0x2F or 0x3A <= i <= 0x60 or 0x7B <= i <= 0x7F else i for i in range(256))
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_WORD).split()
+    """Words between ASCII characters that are no letters or digits; longer ones than PIECE bytes in overlapping pieces."""
+    split = (text or "").lower().encode().translate(_WORD).split()
+    if all(len(w) <= PIECE for w in split):
+        return split
+    return [w[i : i + PIECE] for w in split for i in range(0, max(1, len(w) - PIECE + STEP), STEP)]
 
 
 def grams(word: bytes) -> list[bytes]:
     """Prefixes of 3 to 6 bytes with a start mark, and all runs of 4 bytes of the word between marks."""
-    w = b"<" + word[:64] + b">"
+    w = b"<" + word + b">"
     return [w[:i] for i in range(4, min(len(w), 7) + 1)] + [w[i : i + 4] for i in range(1, len(w) - 3)]
 
 
