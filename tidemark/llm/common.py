@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,17 +17,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that the session names; lost executors lose nothing of it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    Where none is named, a folder of this machine serves a local session; on a cluster that would lose data, so it is an
+    error there.
     """
-    spark = df.sparkSession
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tidemark-")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; lost executors lose nothing of it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: a cut whose columns are read one by one."""
+    at = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df marked for broadcast if it has at most BROADCAST_ROWS rows, else df as it is (a shuffle join follows)."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows

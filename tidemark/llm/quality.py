@@ -1,48 +1,86 @@
 """Quality rules: text statistics and a minimum-covariance-determinant outlier test, all in DataFrame functions.
 
 Every document gets five statistics. Per (language, source) the robust centre and scatter of the transformed
-statistics are found by concentration steps: start from medians and quartiles, keep the H share of the rows with the
-least distance, re-estimate mean and covariance from them, repeat. A document is rejected when its squared
-Mahalanobis distance exceeds CUTOFF. Per-row data never leave their partition: each step shuffles only one row of
-sums (or one histogram) for each group and task, so a group that holds a third of all rows costs what any other does.
-
-Edge cases: a null text has no words and counts as empty; an empty text fails the base rules (under 50 words);
-null lang or source forms a group of its own; groups under MIN_ROWS rows are pooled, and if the pool is under MIN_ROWS
-too, only the base rules decide. Equal rows get equal verdicts. Input columns other than those named are ignored.
+statistics come from concentration steps: several starts (medians and quartile widths; rows picked by hash as centres),
+each step keeping the H share of the rows with the least distance and estimating mean and covariance anew from them. After
+TRIAL steps the start of the least determinant goes on until the determinant settles. A document is rejected when
+its squared Mahalanobis distance exceeds the 1 - TAIL quantile of chi-square with five degrees of freedom.
+
+Groups come in every size, down to one row, where no covariance can be had from the group alone. The estimate is
+therefore the regularized one (minimum regularized covariance determinant): the corpus-wide estimate, found first in the
+same way, weighs as much as PRIOR rows of the group. A variance under its floor is raised to it; statistics that are zero
+in most documents (symbols, repeated lines) would otherwise make any document that has them an outlier.
+
+The H share is exact: distances are counted in bands, and the band in which the share ends enters with the fraction that
+is missing. Per-row data never leave their partition: a step shuffles counts per group, band and task and then one row of sums
+per group and task, so a group that holds a third of all rows costs what any other does.
+
+Edge cases: a null text has no words and counts as empty; an empty text fails the base rules (under 50 words); a text may
+be as long as a string can be, its words and windows are arrays of its row; null lang or source forms a group of its own;
+equal rows get equal verdicts; an empty table gives no rows. Input columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import BROADCAST_ROWS, cut, small_side
+from .common import BROADCAST_ROWS, cut, staged
 
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
-#: Share of a group's rows that the scatter is estimated from.
-H = 0.75
-STEPS = 4
-MIN_ROWS = 60
-#: Consistency factor of the 75 % subset in five dimensions, H / P(chi2_7 <= q) with P(chi2_5 <= q) = H.
-CONSISTENCY = 1.41
-#: Squared distance beyond which a document is an outlier. Far in the tail on purpose: a group's statistics are
-#: skewed, and losing clean documents is worse than keeping a few odd ones.
-CUTOFF = 30.0
-#: Least standard deviation of each transformed statistic; without it, statistics that are zero in most documents
-#: (symbols, repeated lines) would make any document that has them an outlier.
-FLOORS = {"f_words": 0.9, "f_wordlen": 0.12, "f_symbols": 0.15, "f_dup": 0.2, "f_repeat": 0.25}
+#: Share of a group's rows that the scatter is estimated from; rows that the corpus-wide estimate counts for.
+H, PRIOR = 0.75, 60.0
+#: Starts of a group, steps that all of them get, most steps after that, and the change of the log-determinant that ends them.
+STARTS, TRIAL, STEPS, SETTLED = 3, 2, 30, 1e-3
+#: Bands of squared distance per doubling.
+BANDS = 16
+#: Share of good documents, were their statistics normal, that the test would reject.
+TAIL = 1e-5
+#: Least standard deviation of each transformed statistic.
+FLOORS = {"f_words": 0.3, "f_wordlen": 0.05, "f_symbols": 0.12, "f_dup": 0.1, "f_repeat": 0.12}
 FEATURES = list(FLOORS)
+PAIRS = [(f, g) for i, f in enumerate(FEATURES) for g in FEATURES[: i + 1]]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def chi2_cdf(x: float, freedom: int) -> float:
+    """Chi-square distribution function for odd degrees of freedom."""
+    out, term = math.erf(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for k in range(3, freedom + 1, 2):
+        out, term = out - term, term * x / k
+    return out
+
+
+def chi2_quantile(share: float, freedom: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_cdf(middle, freedom) < share else (low, middle)
+    return high
+
+
+#: Squared distance beyond which a document is an outlier, and what the covariance of the nearest H share is short by.
+CUTOFF = chi2_quantile(1 - TAIL, len(FEATURES))
+CONSISTENCY = H / chi2_cdf(chi2_quantile(H, len(FEATURES)), len(FEATURES) + 2)
+
+
+def window_hash(a: Column, b: Column, c: Column) -> Column:
+    return F.xxhash64(a, b, c)
+
+
 def text_stats(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' columns in `keep` (default: all) plus COUNTS, n_lines and base_failed.
 
     A 3-word window's hash is packed with its position into one long (position in the low bits, as few as the text
-    needs), so one primitive sort brings equal windows together and still tells where they are.
+    needs), so one primitive sort brings equal windows together and still tells where they are. Windows whose hash
+    bits agree are then held against each other word by word; where that finds unlike windows under one hash (long
+    texts leave few bits for it), those windows are compared as strings. The count is exact whatever the hash does.
     """
     keep = list(docs.columns) if keep is None else keep
     body = F.coalesce(F.col(text), F.lit(""))
@@ -63,19 +101,26 @@ def text_stats(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.ceil(F.log2(F.size("__w") + F.lit(1.0))).cast("int").alias("__b"),
     )
+    word = lambda p, k: F.get("__w", (p + k).cast("int"))
     windows = F.transform(
         F.sequence(F.lit(0), F.col("__n") - 3),
-        lambda i: shift("shiftleft", F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)), F.col("__b")).bitwiseOR(i.cast("long")),
+        lambda i: shift("shiftleft", window_hash(word(i, 0), word(i, 1), word(i, 2)), F.col("__b")).bitwiseOR(i.cast("long")),
     )
-    df = df.select(
-        *own, "word_chars", "n_symbols", "n_lines", "n_dup_lines", "__n", "__b",
-        F.when(F.col("__n") >= 4, F.sort_array(windows)).alias("__s"),
-    )
+    thin = ["word_chars", "n_symbols", "n_lines", "n_dup_lines", "__n", "__b", "__w"]
+    df = df.select(*own, *thin, F.when(F.col("__n") >= 4, F.sort_array(windows)).alias("__s"))
     head = lambda x: shift("shiftright", x, F.col("__b"))
-    same = lambda x, i: F.coalesce(head(F.get("__s", i)) == head(x), F.lit(False))
-    found = F.filter("__s", lambda x, i: same(x, i - 1) | same(x, i + 1))
-    low = shift("shiftleft", F.lit(1).cast("long"), F.col("__b")) - 1
-    df = df.withColumn("__p", F.sort_array(F.transform(found, lambda x: x.bitwiseAND(low))))
+    place = lambda x: x.bitwiseAND(shift("shiftleft", F.lit(1).cast("long"), F.col("__b")) - 1)
+    alike = lambda x, y: F.coalesce(head(x) == head(y), F.lit(False))
+    df = df.select(*own, *thin, F.filter("__s", lambda x, i: alike(F.get("__s", i - 1), x) | alike(F.get("__s", i + 1), x)).alias("__c"))
+    agree = lambda p, q: (word(p, 0) == word(q, 0)) & (word(p, 1) == word(q, 1)) & (word(p, 2) == word(q, 2))
+    clash = F.filter("__c", lambda x, i: alike(F.get("__c", i - 1), x) & ~agree(place(F.get("__c", i - 1)), place(x)))
+    df = df.select(*own, *thin, "__c", F.array_distinct(F.transform(clash, head)).alias("__x"))
+    clear = F.transform(F.filter("__c", lambda x: ~F.array_contains("__x", head(x))), place)
+    unsure = F.transform(F.filter("__c", lambda x: F.array_contains("__x", head(x))), lambda x: F.struct(F.concat_ws(" ", word(place(x), 0), word(place(x), 1), word(place(x), 2)).alias("k"), place(x).alias("p")))
+    df = df.select(*own, *thin, F.when(F.size("__x") <= 0, F.transform("__c", place)).otherwise(clear).alias("__p"), F.when(F.size("__x") > 0, F.sort_array(unsure)).alias("__u"))
+    twin = lambda x, i: F.coalesce(F.get("__u", i - 1)["k"] == x["k"], F.lit(False)) | F.coalesce(F.get("__u", i + 1)["k"] == x["k"], F.lit(False))
+    sure = F.coalesce(F.transform(F.filter("__u", twin), lambda x: x["p"]), F.array().cast("array<bigint>"))
+    df = df.withColumn("__p", F.sort_array(F.concat("__p", sure)))
     step = F.transform("__p", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("__p", i + 1) - p, F.lit(3).cast("long"))))
     df = df.select(
         *own,
@@ -97,21 +142,38 @@ def with_features(stats: DataFrame) -> DataFrame:
     })
 
 
-def _start(thin: DataFrame) -> DataFrame:
-    """Per group, medians and quartile widths of the features, from histograms a twentieth of a floor wide."""
-    cols = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.floor(F.col(f) * (20 / FLOORS[f])).alias("bin"), F.lit(FLOORS[f]).alias("floor")) for f in FEATURES])).alias("x")
-    long = thin.select("grp", cols).select("grp", "x.f", "x.floor", "x.bin")
-    h = long.groupBy("grp", "f", "floor", "bin").agg(F.count(F.lit(1)).alias("c"))
+def _group() -> Column:
+    """(lang, source) as one name; to_json leaves nulls out, so they differ from every string."""
+    return F.to_json(F.struct("lang", "source"))
+
+
+def _starts(thin: DataFrame) -> DataFrame:
+    """grp, start, m_*, c_*: medians or a row chosen by hash as centre, quartile widths (from fine histograms) as scatter."""
+    cols = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.floor(F.col(f) * (20 / FLOORS[f])).alias("bin")) for f in FEATURES])).alias("x")
+    h = thin.select("grp", cols).groupBy("grp", "x.f", "x.bin").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("grp", "f")
     h = h.withColumn("cum", F.sum("c").over(w.orderBy("bin")) / F.sum("c").over(w))
     at = lambda q: F.min(F.when(F.col("cum") >= q, F.col("bin")))
-    q = h.groupBy("grp", "f", "floor").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
-    width = F.col("floor") / 20
-    q = q.select("grp", "f", ((F.col("q2") + 0.5) * width).alias("m"), F.greatest((F.col("q3") - F.col("q1")) * width / 1.349, F.col("floor")).alias("s"))
+    q = h.groupBy("grp", "f").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     pick = lambda f, c: F.max(F.when(F.col("f") == f, F.col(c)))
-    entries = [pick(f, "m").alias(f"m_{f}") for f in FEATURES]
-    entries += [(pick(f, "s") if f == g else F.lit(0.0)).alias(f"l_{f}_{g}") for i, f in enumerate(FEATURES) for g in FEATURES[: i + 1]]
-    return q.groupBy("grp").agg(*entries)
+    middle = q.groupBy("grp").agg(
+        *[((pick(f, "q2") + 0.5) * (FLOORS[f] / 20)).alias(f"m_{f}") for f in FEATURES],
+        *[F.pow(F.greatest((pick(f, "q3") - pick(f, "q1")) * (FLOORS[f] / 20 / 1.349), F.lit(FLOORS[f])), F.lit(2.0)).alias(f"v_{f}") for f in FEATURES],
+    )
+    some = thin.groupBy("grp").agg(*[F.min_by(F.struct(*FEATURES), F.xxhash64(F.lit(k), *FEATURES)).alias(f"r{k}") for k in range(1, STARTS)])
+    centres = F.array(F.struct(*[F.col(f"m_{f}").alias(f) for f in FEATURES]), *[F.col(f"r{k}") for k in range(1, STARTS)])
+    each = middle.join(some, "grp").select("grp", F.posexplode(centres).alias("start", "m"), *[f"v_{f}" for f in FEATURES])
+    return each.select("grp", "start", *[F.col(f"m.{f}").alias(f"m_{f}") for f in FEATURES], *[(F.col(f"v_{f}") if f == g else F.lit(0.0)).alias(f"c_{f}_{g}") for f, g in PAIRS])
+
+
+def _factor(params: DataFrame) -> DataFrame:
+    """Adds l_* (the Cholesky factor of c_*) and ld (the log of its determinant)."""
+    for f, g in PAIRS:
+        rest = F.col(f"c_{f}_{g}")
+        for k in FEATURES[: FEATURES.index(g)]:
+            rest = rest - F.col(f"l_{f}_{k}") * F.col(f"l_{g}_{k}")
+        params = params.withColumn(f"l_{f}_{g}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if f == g else rest / F.col(f"l_{g}_{g}"))
+    return params.withColumn("ld", 2 * reduce(Column.__add__, [F.log(F.col(f"l_{f}_{f}")) for f in FEATURES]))
 
 
 def _distance(df: DataFrame) -> DataFrame:
@@ -121,66 +183,67 @@ def _distance(df: DataFrame) -> DataFrame:
         for g in FEATURES[:i]:
             z = z - F.col(f"l_{f}_{g}") * F.col(f"__z_{g}")
         df = df.withColumn(f"__z_{f}", z / F.col(f"l_{f}_{f}"))
-    total: Column = F.lit(0.0)
-    for f in FEATURES:
-        total = total + F.col(f"__z_{f}") * F.col(f"__z_{f}")
-    return df.withColumn("d2", total).drop(*[f"__z_{f}" for f in FEATURES])
-
-
-def _factor(sums: DataFrame) -> DataFrame:
-    """Means and the Cholesky factor of the covariance with its floors, from sums of features and of their products."""
-    df = sums.select("grp", *[(F.col(f"s_{f}") / F.col("n")).alias(f"m_{f}") for f in FEATURES], *[
-        (CONSISTENCY * (F.col(f"s_{f}_{g}") / F.col("n") - F.col(f"s_{f}") / F.col("n") * F.col(f"s_{g}") / F.col("n")) + (FLOORS[f] ** 2 if f == g else 0.0)).alias(f"c_{f}_{g}")
-        for i, f in enumerate(FEATURES) for g in FEATURES[: i + 1]
-    ])
-    for i, f in enumerate(FEATURES):
-        for j, g in enumerate(FEATURES[: i + 1]):
-            rest = F.col(f"c_{f}_{g}")
-            for k in FEATURES[:j]:
-                rest = rest - F.col(f"l_{f}_{k}") * F.col(f"l_{g}_{k}")
-            df = df.withColumn(f"l_{f}_{g}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if f == g else rest / F.col(f"l_{g}_{g}"))
-    return df.drop(*[c for c in df.columns if c.startswith("c_")])
+    return df.withColumn("d2", reduce(Column.__add__, [F.col(f"__z_{f}") * F.col(f"__z_{f}") for f in FEATURES])).drop(*[f"__z_{f}" for f in FEATURES])
 
 
-def mcd(stats: DataFrame) -> DataFrame:
-    """Robust parameters per group: columns lang, source, grp, m_*, l_*; groups without enough rows have no row.
+def _join(left: DataFrame, right: DataFrame, rows: int, how: str = "inner", keys: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """Equi-join; right has `rows` rows at most and is broadcast if those are few."""
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, list(keys), how)
 
-    stats: lang, source and FEATURES, one row per document, cheap to scan again (a checkpoint).
-    """
-    sizes = stats.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("__rows"))
-    name = F.to_json(F.struct(F.coalesce(F.col("lang"), F.lit("\u0000")).alias("l"), F.coalesce(F.col("source"), F.lit("\u0000")).alias("s")))
-    groups = cut(sizes.select("lang", "source", "__rows", F.when(F.col("__rows") >= MIN_ROWS, name).otherwise(F.lit("*")).alias("grp")))
-    n_groups = groups.count()
-    thin = _join(stats.select("lang", "source", *FEATURES), groups.drop("__rows"), ["lang", "source"], n_groups).drop("lang", "source")
-    params = cut(_start(thin))
-    products = [(f, g) for i, f in enumerate(FEATURES) for g in FEATURES[: i + 1]]
-    terms = {"n": F.lit(1)} | {f"s_{f}": F.col(f) for f in FEATURES} | {f"s_{f}_{g}": F.col(f) * F.col(g) for f, g in products}
-    by_group = Window.partitionBy("grp")
+
+def _step(thin: DataFrame, params: DataFrame, rows: int, prior: dict[str, float] | None) -> DataFrame:
+    """One concentration step of every (group, start) in params; `was` is the log-determinant before it."""
+    par = params.select("grp", "start", "ld", *[c for c in params.columns if c[:2] in ("m_", "l_")])
+    near = _distance(_join(thin, par, rows)).withColumn("band", F.floor(BANDS * F.log2(F.col("d2") + 1e-3)))
+    bands = near.groupBy("grp", "start", "band").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("grp", "start")
+    quota = H * F.sum("n").over(own) - (F.sum("n").over(own.orderBy("band")) - F.col("n"))
+    last = bands.withColumn("w", F.least(quota / F.col("n"), F.lit(1.0))).where("w > 0").groupBy("grp", "start").agg(F.max(F.struct("band", "w")).alias("last"))
+    kept = _join(near, last, rows, keys=("grp", "start")).where(F.col("band") <= F.col("last.band"))
+    kept = kept.withColumn("w", F.when(F.col("band") == F.col("last.band"), F.col("last.w")).otherwise(1.0))
+    sums = kept.groupBy("grp", "start").agg(
+        F.first("ld").alias("was"), F.sum("w").alias("n"),
+        *[F.sum(F.col("w") * F.col(f)).alias(f"s_{f}") for f in FEATURES], *[F.sum(F.col("w") * F.col(f) * F.col(g)).alias(f"s_{f}_{g}") for f, g in PAIRS],
+    )
+    mean = lambda f: F.col(f"s_{f}") / F.col("n")
+    m = {f: mean(f) for f in FEATURES}
+    c = {(f, g): CONSISTENCY * (F.col(f"s_{f}_{g}") / F.col("n") - mean(f) * mean(g)) for f, g in PAIRS}
+    if prior is not None:
+        share = PRIOR / (F.col("n") / H + PRIOR)
+        m = {f: share * prior[f"m_{f}"] + (1 - share) * v for f, v in m.items()}
+        c = {(f, g): share * prior[f"c_{f}_{g}"] + (1 - share) * v for (f, g), v in c.items()}
+    c = {(f, g): F.greatest(v, F.lit(FLOORS[f] ** 2)) if f == g else v for (f, g), v in c.items()}
+    return _factor(sums.select("grp", "start", "was", *[v.alias(f"m_{f}") for f, v in m.items()], *[v.alias(f"c_{f}_{g}") for (f, g), v in c.items()]))
+
+
+def _concentrate(thin: DataFrame, prior: dict[str, float] | None = None) -> DataFrame:
+    """grp, m_*, c_*, l_*: the estimate of least determinant of each group. thin: grp and FEATURES."""
+    params = cut(_factor(_starts(thin)))
+    rows = params.count()
+    for _ in range(TRIAL):
+        params = cut(_step(thin, params, rows, prior))
+    best = Window.partitionBy("grp").orderBy(F.round("ld", 6), "start")
+    params = cut(params.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r"))
     for _ in range(STEPS):
-        # sums per group and band of distance: the nearest bands that hold H of the rows make the next estimate
-        near = _distance(_join(thin, params, ["grp"], n_groups)).withColumn("band", F.floor(16 * F.log2(F.col("d2") + 1e-3)))
-        bands = near.groupBy("grp", "band").agg(*[F.sum(x).alias(k) for k, x in terms.items()])
-        bands = bands.withColumn("__below", F.sum("n").over(by_group.orderBy("band")) - F.col("n")).withColumn("__all", F.sum("n").over(by_group))
-        params = cut(_factor(bands.where(F.col("__below") < H * F.col("__all")).groupBy("grp").agg(*[F.sum(k).alias(k) for k in terms])))
-    usable = groups.withColumn("__in", F.sum("__rows").over(by_group)).where(F.col("__in") >= MIN_ROWS).drop("__in", "__rows")
-    return cut(usable.join(small_side(params, n_groups), "grp"))
+        params = cut(_step(thin, params, rows, prior))
+        change = params.agg(F.max(F.abs(F.col("ld") - F.col("was")))).first()[0]
+        if change is None or change < SETTLED:
+            break
+    return params.drop("start", "was", "ld")
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Inner join by keys that may be null; right has `rows` rows at most and is broadcast if those are few."""
-    right = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    right = F.broadcast(right) if rows <= BROADCAST_ROWS else right
-    return left.join(right, cond).drop(*[f"__r_{k}" for k in keys])
+def mcd(stats: DataFrame) -> DataFrame:
+    """Robust parameters per group: grp, m_*, c_*, l_*. stats: lang, source and FEATURES, cheap to scan again."""
+    thin = stats.select(_group().alias("grp"), *FEATURES)
+    whole = _concentrate(thin.withColumn("grp", F.lit("*"))).first()
+    return _concentrate(thin, whole.asDict()) if whole is not None else _factor(_starts(thin))
 
 
 def verdicts(stats: DataFrame, params: DataFrame) -> DataFrame:
-    """stats (with features) plus d2 (null without parameters) and kept."""
-    right = params.select(F.col("lang").alias("__r_lang"), F.col("source").alias("__r_source"), *[c for c in params.columns if c[:2] in ("m_", "l_")])
-    joined = stats.join(small_side(right), F.col("lang").eqNullSafe(F.col("__r_lang")) & F.col("source").eqNullSafe(F.col("__r_source")), "left")
-    scored = _distance(joined).drop("__r_lang", "__r_source", *[c for c in right.columns if c[:2] in ("m_", "l_")])
+    """stats (with features) plus d2 and kept."""
+    right = params.select(F.col("grp").alias("__grp"), *[c for c in params.columns if c[:2] in ("m_", "l_")])
+    joined = _join(stats.withColumn("__grp", _group()), right, params.count(), "left", ("__grp",))
+    scored = _distance(joined).drop(*right.columns)
     return scored.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
 
 
@@ -193,13 +256,10 @@ def quality(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns as they are.
 
-    Statistics are computed once for the parameters and again, beside the text, for the verdicts: that costs CPU in a
-    map stage, where carrying verdicts back to the texts would shuffle every text.
+    Statistics are computed once and written beside their documents; the steps read their few columns alone, and the
+    verdicts are then applied to that table in a scan, without a shuffle of texts.
     """
-    stats = cut(with_features(text_stats(docs, keep=["lang", "source"])).select("lang", "source", *FEATURES))
-    params = mcd(stats)
-    own = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("lang"), F.col("source"), F.col("text"))
-    # __row is not deterministic, so no filter moves below it: pushed into the statistics, a verdict would have them
-    # computed once for each time that it mentions them
-    stats = with_features(text_stats(own, keep=["__doc", "lang", "source"])).withColumn("__row", F.monotonically_increasing_id())
-    return verdicts(stats, params).where(F.col("kept") & (F.col("__row") >= 0)).select("__doc.*")
+    own = docs.select(F.struct(*docs.columns).alias("__doc"), "lang", "source", "text")
+    stats = staged(with_features(text_stats(own, keep=["__doc", "lang", "source"])).select("__doc", "lang", "source", "base_failed", *FEATURES))
+    params = mcd(cut(stats.select("lang", "source", *FEATURES)))
+    return verdicts(stats, params).where("kept").select("__doc.*")
