@@ -1,15 +1,17 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Three base formats are always reported. Beside them a high-recall generator proposes other credential shapes; what
-decides about those is how their value spreads over the corpus: a value seen under one owner (and not built like a
-placeholder) is live-looking and becomes a span, one that several owners share is a copied example and does not. The
-same frequencies label the base spans (n_live, n_example) without removing any.
+decides about those is how their value spreads over the corpus: a value that fewer than EXAMPLE_OWNERS owners and fewer
+than EXAMPLE_REPOS repositories hold (and that is not built like a placeholder) is live-looking and becomes a span; one
+that is spread wider is a copied example and does not. The same frequencies label the base spans (n_live, n_example)
+without removing any. Where a table has no repositories, documents stand for them, and their sources for owners.
 
 Values are counted by hash, first per (hash, owner, repository), then per hash, so a value copied into a third of all
 documents is combined before each shuffle.
 
 Edge cases: a null or empty text has no spans; null owners count as one owner, null repositories as one repository;
-repeated rows each get a row, and count once for the frequencies; columns that are not named are ignored.
+repeated rows each get a row, and count once for the frequencies; columns that are not named are ignored; texts and
+secrets may have any length (every pattern scans in time proportional to the text); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, staged
 
 BASE = ("assign", "access", "hex")
 EXTRA = ("private_key", "vendor_token", "jwt", "url_password", "opaque")
 KINDS = BASE + EXTRA
-#: Owners from which on a value is a copied example.
-EXAMPLE_OWNERS = 3
+#: Owners, and repositories, from which on a value is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 100
 #: Bits per character under which a value looks like a placeholder.
 LEAST_ENTROPY = 2.5
 
@@ -38,9 +40,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-PRIVATE_KEY = re.compile(r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----")
-#: What follows the header of a key that has no END line: its own headers, long pieces, and a short padded one.
-KEY_BODY = re.compile(r"(?:\s*+[A-Za-z-]{1,40}: [^\n]*+\n)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{1,15}+={1,2})?")
+PRIVATE_KEY = re.compile(r"-----BEGIN ((?:[A-Z0-9]++ )*?)PRIVATE KEY-----")
+#: What follows the header of a key that has no END line: its own headers, long pieces, and a last line that may be short.
+KEY_BODY = re.compile(r"(?:\s*+[A-Za-z-]++: [^\n]*+\n)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{1,15}+={1,2}|\s*?(?:\n|\\n)[A-Za-z0-9+/]{1,15}+={0,2}(?=[\x20\t\r]*+(?:\n|\\[nr]|\Z)))?")
 KEY_SPACE = re.compile(r"\s|\\[nr]")
 VENDOR = re.compile(r"(?:gh[opsur]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35})")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
@@ -77,7 +79,7 @@ def private_keys(text: str) -> list[Span]:
     """From BEGIN to END, or over what looks like the key where no END comes before the next BEGIN.
 
     The header alone is the same everywhere: the value is the body without white space, as copies break lines elsewhere.
-    Where no body follows the header, the span is the header and the value the text behind it.
+    A header that no body follows holds no secret.
     """
     out: list[Span] = []
     heads = list(PRIVATE_KEY.finditer(text))
@@ -89,7 +91,7 @@ def private_keys(text: str) -> list[Span]:
         elif found := KEY_BODY.match(text, m.end(), following):
             body, end = found[0], found.end()
         else:
-            body, end = text[m.end() : m.end() + 200], m.end()
+            continue
         out.append((m.start(), end, "private_key", KEY_SPACE.sub("", body)))
     return out
 
@@ -162,7 +164,7 @@ def judged(scanned: DataFrame) -> DataFrame:
     """doc_id, th and, per document that has candidates: extra spans to report, n_live, n_example."""
     one = scanned.where((F.size("base") > 0) | (F.size("extra") > 0)).select("doc_id", "th", F.explode(F.concat("base", "extra")).alias("s")).distinct()
     own = one.withColumn("value", F.col("s.value")).join(ownership(scanned), "value")
-    live = (F.col("n_owners") < EXAMPLE_OWNERS) & ~F.col("s.odd")
+    live = (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("n_repos") < EXAMPLE_REPOS) & ~F.col("s.odd")
     add = (F.col("s.rank") >= len(BASE)) & live
     return own.groupBy("doc_id", "th").agg(
         F.collect_list(F.when(add, F.col("s"))).alias("added"), F.sum(live.cast("long")).alias("n_live"), F.sum((~live).cast("long")).alias("n_example"),
@@ -200,38 +202,35 @@ def blank_out(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; n_chars, if there, follows. No row goes.
 
-    Base spans are replaced where the row is read. Only rows with other candidates (few) meet the corpus-wide verdicts
-    in a join, so the bulk of the texts is never shuffled.
+    One pass over the texts replaces base spans and writes the table with its candidates. Rows with candidates that
+    wait for the corpus-wide verdict (few) are written as they are and meet it in a join, so the bulk of the texts is
+    never shuffled nor scanned again.
     """
-    names = docs.columns
-    found = judged(cut(scan(docs, owner, repo).where((F.size("base") > 0) | (F.size("extra") > 0)))).where(F.size("added") > 0)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.transform("added", lambda s: F.struct(s["start"], s["end"], s["kind"])).alias("__added"))
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows without other candidates, redacted."""
-        for b in batches:
-            both = [candidates(x) for x in b.column("text").to_pylist()]
-            yield _redacted(b, [base for base, _ in both], [None] * len(b)).filter(pa.array([not extra for _, extra in both], pa.bool_()))
+    names, at = docs.columns, docs.columns.index("text")
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([bool(candidates(x)[1]) for x in b.column("text").to_pylist()], pa.bool_()))
+            doc = b.column("doc")
+            fields, kinds = doc.flatten(), list(doc.type)
+            texts = fields[at].to_pylist()
+            found = [candidates(x) for x in texts]
+            base, extra = ([_row(f[i]) for f in found] for i in (0, 1))
+            waits = [any(not s["odd"] for s in own) for own in extra]
+            done = [blank_out(x, [s[:3] for s in own]) if own and not w else x for x, w, (own, _) in zip(texts, waits, found, strict=True)]
+            fields[at] = pa.array(done, kinds[at].type)
+            cols = [pa.StructArray.from_arrays(fields, fields=kinds), *[b.column(n) for n in ("th", "owner", "repo")], pa.array(base, _ARROW), pa.array(extra, _ARROW), pa.array(waits, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "th", "owner", "repo", "base", "extra", "waits"])
 
     def with_verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            yield _redacted(b.select(names), [base_spans(x or "") for x in texts], b.column("__added").to_pylist())
-
-    schema = docs.schema
-    rest = docs.mapInArrow(others, schema).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left")
-    out = docs.mapInArrow(plain, schema).unionByName(rest.select(*names, "__added").mapInArrow(with_verdict, schema))
+            text = [blank_out(x, [(s["start"], s["end"], s["kind"]) for s in own]) for x, own in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+            yield b.select(names).set_column(at, b.schema.field("text"), pa.array(text, b.schema.field("text").type))
+
+    rows = docs.select(F.struct(*names).alias("doc"), F.xxhash64("text").alias("th"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"))
+    whole = staged(rows.mapInArrow(run, f"doc {docs.schema.simpleString()}, th long, owner string, repo string, base array<{SPAN}>, extra array<{SPAN}>, waits boolean"))
+    found = judged(whole.select("doc.doc_id", "th", "owner", "repo", "base", "extra")).where(F.size("added") > 0)
+    found = found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "added")
+    rest = whole.where("waits").join(found, F.col("doc.doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    rest = rest.select("doc.*", F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))).alias("__spans"))
+    out = whole.where(~F.col("waits")).select("doc.*").unionByName(rest.mapInArrow(with_verdict, docs.schema))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else out
-
-
-def _redacted(b: pa.RecordBatch, base: list[list[Span]], added: list[list[dict] | None]) -> pa.RecordBatch:
-    done = []
-    for x, own, more in zip(b.column("text").to_pylist(), base, added, strict=True):
-        spans = [s[:3] for s in own] + [(s["start"], s["end"], s["kind"]) for s in more or []]
-        done.append(blank_out(x, spans) if spans else x)
-    at = b.schema.names.index("text")
-    return b.set_column(at, b.schema.field(at), pa.array(done, b.schema.field(at).type))
