@@ -69,13 +69,12 @@ def test_repeated_fragments_are_no_license(spark, text, times):
         assert row.labels == [] and row.score < 0.3
 
 
-def test_whole_texts_and_shuffled_ones(spark):
-    rng = random.Random(1)
+def test_whole_texts_and_disordered_ones(spark):
     rows = [(i, f"Copyright 2020. {t.capitalize()}.") for i, t in enumerate(L.PASSAGES.values())]
     for i, t in enumerate(L.PASSAGES.values()):
         w = t.split()
         pieces = [" ".join(w[j : j + 6]) for j in range(0, len(w), 6)]
-        rng.shuffle(pieces)
+        pieces.reverse()
         rows.append((100 + i, " ".join(pieces)))
     rows.append((300, (L.PASSAGES["mit"] + " filler ") * 300))
     got = {r.doc_id: (r.labels, r.score) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
