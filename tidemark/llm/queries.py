@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -41,23 +40,23 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
-    chats = chat.format_chats(rows.unionByName(own), public_tokenizers.path("byte_bpe_50k.json"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = []
-            for formatted, starts, ends, loss in zip(*[b.column(c) for c in ("formatted", "starts", "ends", "loss")], strict=True):
-                formatted = formatted.as_py()
-                turns = chat.read_back(formatted)
-                offsets = np.stack([starts.values.to_numpy(), ends.values.to_numpy()], 1)
-                under = chat.masked_text(formatted, offsets, loss.values.to_numpy(zero_copy_only=False).astype(bool))
-                digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                got.append((len(turns), digest, len(under), hashlib.sha256(under.encode()).hexdigest(), len(formatted)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), *[pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]], names)
-
-    return chats.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def digests(b: pa.RecordBatch) -> pa.RecordBatch:
+        """What the formatted conversations and their masks say, read back from them."""
+        got = []
+        for formatted, starts, ends, loss in zip(*[b.column(c) for c in ("formatted", "starts", "ends", "loss")], strict=True):
+            formatted = formatted.as_py()
+            turns = chat.read_back(formatted)
+            offsets = np.stack([starts.values.to_numpy(), ends.values.to_numpy()], 1)
+            under = chat.masked_text(formatted, offsets, loss.values.to_numpy(zero_copy_only=False))
+            digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+            got.append((len(turns), digest, len(under), hashlib.sha256(under.encode()).hexdigest(), len(formatted)))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([b.column("conv_id"), *[pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]], names)
+
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return chat.format_chats(rows.unionByName(own), public_tokenizers.path("byte_bpe_50k.tiktoken"), then=digests, schema=schema)
 
 
 def op2_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
