@@ -8,15 +8,17 @@ unit scores the window. A document's score is its likeliest window's, calibrated
 
 Training uses a bounded sample of labelled rows (SAMPLE of each label at most, chosen by hash). Labels are given per
 document while windows are scored, so windows are picked in turns: first by the log-odds of their words, then by the
-network itself, with the likeliest windows of clean documents as hard negatives. A tenth of the sample is held back to
-set the calibration.
+network itself, with the likeliest windows of clean documents as hard negatives. A tenth of the sample is held back from
+that. The calibration is a logistic curve through all documents' likeliest windows, in which those held back weigh as
+much as the rest together; it is shifted so that the cut with the best F1 gets the score LIMIT.
 
 Gate inputs are computed once for each distinct word and kept in a bounded table, so a window step costs one gather and
 one small matrix product.
 
 Edge cases: a null or empty text is scored as one empty window; rows without a label, or with a null doc_id, are never
-learned from; several labels for one doc_id count as toxic if any is; without labelled rows of both kinds every score
-is 0; repeated rows get equal rows; other columns are ignored.
+learned from; several labels for one doc_id count as toxic if any is, and of several texts of one doc_id the first in
+order is learned from; without labelled rows of both kinds every score is 0; repeated rows get equal rows; other columns
+are ignored; texts may have any length, all their windows are scored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 12, 12, 8, 8
 #: Documents that a word or n-gram must occur in to be in the vocabulary.
 LEAST_WORD, LEAST_GRAM = 3, 4
 ROUNDS, EPOCHS, BATCH, RATE, DECAY = 3, 2, 256, 0.01, 1e-5
-#: Least steps of a round, for small samples; held-back toxic rows without which all rows set the calibration.
-LEAST_STEPS, LEAST_HELD = 60, 20
+#: Least steps of a round, for small samples.
+LEAST_STEPS = 60
 LIMIT = 0.7
 #: Distinct words kept per worker; windows scored together.
 TABLE, BLOCK = 150_000, 2048
@@ -287,36 +289,51 @@ def train(texts: list[str], y: np.ndarray) -> Network | None:
                     s += 0.001 * (grad * grad - s)
                     v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
                 net.p["words"][0] = 0
-    # calibration on the held-back tenth (in a small sample, on all rows): the cut with the best F1 (the middle between its neighbours) maps to LIMIT
     table = net.gates([b"", *distinct])
-    by = held if y[held].sum() >= LEAST_HELD else np.ones(len(y), bool)
-    best = np.array([x.max() for x, h in zip(np.split(net.logits(table, cuts), ends), by, strict=True) if h], float)
-    truth = y[by]
-    if len(truth) and 0 < truth.sum() < len(truth):
-        order = np.argsort(-best, kind="stable")
-        hits = np.cumsum(truth[order])
-        f1 = 2 * hits / (np.arange(1, len(order) + 1) + truth.sum())
-        top = int(np.flatnonzero(f1 >= f1.max() - 1e-12)[0])
-        ranked = best[order]
-        middle = float(ranked[top] + (ranked[top + 1] if top + 1 < len(ranked) else ranked[top] - 1)) / 2
-        net.shift = float(np.log(LIMIT / (1 - LIMIT)) - middle)
+    best = np.array([x.max() for x in np.split(net.logits(table, cuts), ends)], float)
+    net.scale, net.shift = calibration(best, y, np.where(held, max(1, (~held).sum()) / max(1, held.sum()), 1.0))
     return net
 
 
+def calibration(best: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """scale and shift: Platt's curve through (best, y), moved so that the cut with the best F1 has the score LIMIT."""
+    weight = weight * len(y) / weight.sum()
+    n1 = (weight * y).sum()
+    aim = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))  # smoothed, so a clean split keeps a finite slope
+    centre, spread = best.mean(), best.std() + 1e-9
+    z, a, b = (best - centre) / spread, 1.0, 0.0
+    for _ in range(50):
+        p = _sigmoid(a * z + b)
+        g, h = weight * (p - aim), weight * p * (1 - p)
+        m = np.array([[(h * z * z).sum() + 1e-6, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
+        da, db = np.linalg.solve(m, [(g * z).sum() + 1e-6 * a, g.sum()])
+        a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
+    scale = max(a, 1e-3) / spread
+    order = np.argsort(-best, kind="stable")
+    hits, taken = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
+    f1 = 2 * hits / (taken + n1)
+    top = int(np.flatnonzero(f1 >= f1.max() - 1e-12)[0])
+    ranked = best[order]
+    middle = float(ranked[top] + (ranked[top + 1] if top + 1 < len(ranked) else ranked[top] - 1)) / 2
+    return float(scale), float(np.log(LIMIT / (1 - LIMIT)) - scale * middle)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Network | None:
-    """Fits on at most SAMPLE rows a label, from rows that are not held out. The sample's ids are found without texts."""
+    """Fits on at most SAMPLE documents a label, from rows that are not held out; the driver gets one text of each.
+
+    The sample's ids are found without texts.
+    """
     per = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("__y"))
     per = per.withColumn("__u", F.xxhash64(F.lit(SEED), "doc_id"))
     some = per.where("__y = 1").orderBy("__u").limit(SAMPLE).unionByName(per.where("__y = 0").orderBy("__u").limit(SAMPLE))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").collect()  # 2 * SAMPLE texts
-    one = {r.doc_id: (r["__u"], r.doc_id, r.text, r["__y"]) for r in sorted(rows, key=lambda r: r.text)}
-    rows = sorted(one.values(), key=lambda r: (r[0], r[1]))
-    return train([r[2] for r in rows], np.array([int(r[3]) for r in rows]))
-
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__y").alias("y"), F.first("__u").alias("u")).collect()  # 2 * SAMPLE texts
+    one.sort(key=lambda r: (r.u, r.doc_id))
+    return train([r.text for r in one], np.array([int(r.y) for r in one]))
 
 
 def score(docs: DataFrame, network: Network | None) -> DataFrame:
