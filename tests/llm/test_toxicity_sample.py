@@ -36,6 +36,9 @@ def test_long_text_is_scored_to_its_end():
     clean = " ".join(rng.choice(["one", "two", "three"]) for _ in range(200_000))
     net = toxicity.Network([b"one", b"two", b"three", b"idiot"], [b"idio"], np.random.default_rng(1))
     net.p["words"][4] = 5.0
-    net.p["out"][:] = 2.0
-    a, b = toxicity.Scorer(net).scores([clean, clean + " idiot"])
-    assert a != b
+    moved = []
+    for sign in (2.0, -2.0):  # the word pushes the last window's score up under one of the signs
+        net.p["out"][:] = sign
+        a, b = toxicity.Scorer(net).scores([clean, clean + " idiot"])
+        moved.append(b - a)
+    assert max(moved) > 0
