@@ -20,7 +20,7 @@ partner either and sends fewer guests.
 Edge cases: vectors that are null, empty, all zero or hold null or non-finite components, and rows without a label,
 link with nothing and are kept as components of their own; vectors of different lengths do not link; repeated rows and
 equal vectors are vectors of their own that link with each other; a null vec_id is never a component's id unless the
-component holds no other; other columns are ignored.
+component holds no other; other columns are ignored; vectors may have any length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_side
 from .components import connected
 
 COSINE = 0.98
 #: Home vectors that a cell aims at; pivots of one division; divisions at most; vectors of a chunk.
 CELL, PIVOTS, LEVELS, CHUNK = 4096, 256, 4, 1024
-#: Slack on distances, far over what rounding can do; it only sends a few more guests.
-SLACK = 1e-9
+#: Slack on distances, over what rounding can do (near cosine 1 the square root turns 1e-16 into 1e-8); it only sends a
+#: few more guests.
+SLACK = 1e-6
+#: Chunks of a band that one task compares with each of the chunks near them.
+DEAL = 8
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
@@ -131,14 +134,18 @@ def spanning(mask: np.ndarray) -> list[tuple[int, int]]:
 def links(members: DataFrame, cosine: float, radius: float) -> tuple[DataFrame, DataFrame]:
     """(rep, deg: rows linked, itself excluded, per chunk pair) and (u, v: spanning links between reps, u > v)."""
     band = members.withColumn("band", F.floor(F.col("dist") / (radius + SLACK)))
-    sizes = band.groupBy("node", "band").agg(F.count(F.lit(1)).alias("m"))
-    sub = F.floor(F.shiftrightunsigned(F.xxhash64(F.lit("sub"), "rep"), 11) / float(1 << 53) * F.ceil(F.col("m") / CHUNK))
-    chunks = band.join(sizes, ["node", "band"]).groupBy("node", "band", sub.alias("sub")).agg(
+    sizes = cut(band.groupBy("node", "band").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("m")))
+    sub = F.floor(F.shiftrightunsigned(F.xxhash64(F.lit("sub"), "rep"), 11) / float(1 << 53) * F.col("m"))
+    # dealt by chunk, not by band, so a band that holds many vectors spreads over tasks
+    dealt = band.join(small_side(sizes), ["node", "band"]).withColumn("sub", sub).repartition("node", "band", "sub")
+    chunks = dealt.groupBy("node", "band", "sub").agg(
         F.collect_list("rep").alias("rep"), F.collect_list("n").alias("n"), F.collect_list("home").alias("home"), F.collect_list("vec").alias("vec"))
-    chunks = cut(chunks)
-    left = chunks.where(F.array_contains("home", True)).select(*[F.col(c).alias(f"a_{c}") for c in chunks.columns])
-    left = left.withColumn("band", F.explode(F.sequence(F.col("a_band") - 1, F.col("a_band") + 1))).withColumnRenamed("a_node", "node")
-    pairs = left.join(chunks, ["node", "band"])
+    chunks = cut(chunks.withColumn("part", F.floor(F.col("sub") / DEAL)))
+    left = chunks.where(F.array_contains("home", True)).select("node", *[F.col(c).alias(f"a_{c}") for c in ("band", "rep", "n", "home", "vec")])
+    left = left.withColumn("band", F.explode(F.sequence(F.col("a_band") - 1, F.col("a_band") + 1)))
+    # a chunk goes to each part of the bands near it; a part is DEAL chunks, so pairs of one hot band are dealt out too
+    parts = sizes.select("node", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / DEAL))).alias("part"))
+    pairs = left.join(small_side(parts), ["node", "band"]).join(chunks, ["node", "band", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["rep", "deg", "u", "v"]
