@@ -12,7 +12,7 @@ splits into four families of smaller buckets that lose no pair.
 
 Edge cases: a null or blank text has fingerprint zero, which links like any other; a null doc_id counts as larger than
 all others (a component of such rows only has component_id null); repeated rows give repeated rows; other columns are
-ignored.
+ignored; a text of any length is counted whole, CHUNK shingles at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,15 +68,21 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text, to tell rows of one id apart) and fp (64 bits in a long)."""
+    """doc_id, row (two hashes of the whole row, equal for repeated rows only) and fp (64 bits in a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = pa.array([fingerprint(x) for x in b.column("b").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), fp], ["doc_id", "th", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("r1"), b.column("r2"), fp], ["doc_id", "r1", "r2", "fp"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("b"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, fp long")
+    rows = docs.select("doc_id", *[h.alias(f"r{k}") for k, h in enumerate(_row(docs), 1)], F.col("text").cast("binary").alias("b"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, r1 long, r2 long, fp long")
+
+
+def _row(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row that together tell rows apart; which columns are null counts too."""
+    plain = [c if "map" not in t else F.map_entries(c) for c, t in docs.dtypes]
+    return [F.xxhash64(F.lit(k), *plain, *[F.col(c).isNull() for c in docs.columns]) for k in (1, 2)]
 
 
 def forest(values: np.ndarray) -> list[tuple[int, int]]:
@@ -132,26 +138,27 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """One row per document: doc_id, th, fp, component_id (smallest doc_id reachable by links), keep_th.
-
-    (component_id, keep_th) names the row that stands for its group.
-    """
+    """One row per document: doc_id, r1, r2, fp, component_id (smallest doc_id reachable by links), keep (r1 and r2 of the row kept)."""
     rows = cut(fingerprints(docs))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.struct("r1", "r2").alias("row"))).alias("first")
     nodes = cut(rows.groupBy("fp").agg(first))
     roots = connected(links(nodes.select("fp"), bucket))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = nodes.groupBy("root").agg(F.min("first").alias("head"))
-    label = nodes.join(heads, "root").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.th").alias("keep_th"))
-    return rows.join(label, "fp").select("doc_id", "th", "fp", "component_id", "keep_th")
+    label = nodes.join(heads, "root").select("fp", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("keep"))
+    return rows.join(label, "fp").select("doc_id", "r1", "r2", "fp", "component_id", "keep")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id, and of its repeated rows one."""
-    heads = groups(docs).select(F.col("component_id").alias("__id"), F.col("keep_th").alias("__th")).distinct()
-    keyed = docs.withColumn("__own", F.xxhash64("text"))
-    kept = keyed.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    """docs with one row of each group: of those with the smallest doc_id the one whose row hash is least.
+
+    Who stays is decided on thin rows; texts move once, by the hash of their row, which both finds the kept rows and
+    brings repeated rows together.
+    """
+    heads = groups(docs).select("keep.*").distinct().select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"))
+    keyed = docs.withColumns({f"__k{k}": h for k, h in enumerate(_row(docs), 1)})
+    kept = keyed.join(heads, (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left_semi")
+    return kept.dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
 
 
 def hex_digits(fp: str) -> Column:
