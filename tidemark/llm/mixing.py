@@ -5,8 +5,8 @@ a pseudo-random order for each pass over the source. A target of t words out of
 then the first blocks of one more pass; the block in which the target falls is resolved document by document.
 
 The taken blocks are then dealt to output shards. The tree's root holds each source's count of taken blocks; a node
-gives its left half of the shards a draw without replacement of half of its blocks, source by source (each count
-hypergeometric given those before), and the rest to the right half. The leaves are exact quotas that add up to what was
+gives its left half of the shards a draw without replacement of half of its blocks, family of sources by family, then
+source by source (each count hypergeometric given those before), and the rest to the right half. The leaves are exact quotas that add up to what was
 taken; each shard draws the next unused blocks of each source's order, and orders its documents by hash.
 
 All random choices are hashes of a seed and of what is chosen, so reruns and retried tasks agree. What is held in one
@@ -14,7 +14,8 @@ task is a window over one source's blocks (BLOCKS over the whole corpus, and one
 block, never over a source's documents.
 
 Edge cases: a null or blank text has size 0 and is never taken; a null source is a source of its own, ordered last;
-equal rows are told apart only by order, so their counts are interchangeable; an empty table gives an empty mix.
+equal rows are told apart only by order, so their counts are interchangeable; an empty table gives an empty mix; a text
+of any length counts whole, and one longer than what is left of a target is taken if more than half of it fits.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: Blocks over the whole corpus; a source has its share of them by words, rounded up.
 BLOCKS = 2048
-#: Output shards, a power of two.
-SHARDS = 16
+#: Output shards, a power of two, and the slices of a shard that are placed and ordered on their own.
+SHARDS, SLICES = 16, 256
 SEED = 20240601
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -71,41 +72,57 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     return per.select("source", "source_size", target.cast("double").alias("target"), F.ceil(BLOCKS * share).alias("n_blocks"))
 
 
+def _draw(need: Column, pools: str, *key: Column | str) -> Column:
+    """Hits per pool (an array) when `need` blocks are drawn without replacement from pools, an array of (name, quota).
+
+    Pool by pool, the count given those before is hypergeometric; it is drawn place by place, each by its own hash of
+    the key, the pool's name and the place, so a draw costs its count of blocks.
+    """
+    everything = F.aggregate(pools, F.lit(0).cast("long"), lambda a, x: a + x["quota"])
+    zero = F.struct(need.alias("need"), everything.alias("left"), F.array().cast("array<bigint>").alias("got"))
+
+    def one(acc: Column, x: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("hit"), acc["left"].alias("pool"))
+        # of the places still to fill, each goes to this pool with the odds of the blocks that remain
+        places = F.when(acc["need"] > 0, F.sequence(F.lit(1).cast("long"), acc["need"])).otherwise(F.array().cast("array<bigint>"))
+        done = F.aggregate(
+            places, start,
+            lambda s, i: F.struct(
+                (s["hit"] + F.when(_unit(*key, x["name"], i) * s["pool"] < x["quota"] - s["hit"], 1).otherwise(0)).alias("hit"),
+                (s["pool"] - 1).alias("pool"),
+            ),
+        )
+        return F.struct((acc["need"] - done["hit"]).alias("need"), (acc["left"] - x["quota"]).alias("left"), F.concat(acc["got"], F.array(done["hit"])).alias("got"))
+
+    return F.aggregate(pools, zero, one)["got"]
+
+
 def split_tree(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
     """source, shard, quota: the blocks of each source that each shard draws. quotas: source, quota (blocks taken).
 
-    A node is one row that holds its sources' counts in order; a level draws each node's left half. A draw of n out of
-    `good + bad` decides for its n places in turn, each by its own hash, so it costs its count of blocks.
+    State is one row for each node and source. At each level a node draws its left half in two stages: first how many
+    blocks come from each family of sources (about as many families as a family has sources, dealt by hash), then, family
+    by family, how many from each source. The two together have the law of one draw over all sources, and no row ever
+    holds more than about the square root of the sources.
     """
-    one = F.struct(F.col("source").isNull().alias("none"), "source", "quota")
-    node = quotas.where("quota > 0").agg(F.array_sort(F.collect_list(one)).alias("q")).select(F.lit(0).alias("shard"), "q").where(F.size("q") > 0)
+    families = F.greatest(F.lit(1), F.ceil(F.sqrt(F.count(F.lit(1)).over(Window.partitionBy()))))
+    family = F.pmod(F.xxhash64(F.lit(SEED), F.lit("family"), "source", F.col("source").isNull()), families)
+    state = quotas.where("quota > 0").select(F.lit(0).alias("shard"), family.alias("family"), "source", F.col("quota").cast("long").alias("quota"))
     size = shards
     while size > 1:
         size //= 2
-        blocks = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["quota"])
-        state = node.withColumn("__all", blocks).withColumn("__half", F.floor((F.col("__all") + (F.xxhash64(F.lit(SEED), "shard", F.lit(size)) % 2 + 2) % 2) / 2))
-        zero = F.struct(F.col("__half").alias("need"), F.col("__all").alias("left"), F.array().cast("array<bigint>").alias("got"))
-
-        level = size
-
-        def draw(acc: Column, x: Column) -> Column:  # noqa: B023  used up within this turn of the loop
-            start = F.struct(F.lit(0).cast("long").alias("hit"), acc["left"].alias("pool"))
-            # of the places still to fill, each goes to this source with the odds of the blocks that remain
-            places = F.when(acc["need"] > 0, F.sequence(F.lit(1).cast("long"), acc["need"])).otherwise(F.array().cast("array<bigint>"))
-            done = F.aggregate(
-                places, start,
-                lambda s, i: F.struct(
-                    (s["hit"] + F.when(_unit(F.col("shard"), F.lit(level), x["source"], i) * s["pool"] < x["quota"] - s["hit"], 1).otherwise(0)).alias("hit"),
-                    (s["pool"] - 1).alias("pool"),
-                ),
-            )
-            return F.struct((acc["need"] - done["hit"]).alias("need"), (acc["left"] - x["quota"]).alias("left"), F.concat(acc["got"], F.array(done["hit"])).alias("got"))
-
-        state = state.withColumn("__got", F.aggregate("q", zero, draw)["got"])
-        part = lambda f: F.transform("q", lambda x, i: F.struct(x["none"].alias("none"), x["source"].alias("source"), f(x["quota"], F.get("__got", i)).alias("quota")))
-        halves = F.array(F.struct(F.col("shard").alias("shard"), part(lambda a, b: b).alias("q")), F.struct((F.col("shard") + size).alias("shard"), part(lambda a, b: a - b).alias("q")))
-        node = state.select(F.explode(halves).alias("h")).select("h.*")
-    return node.select("shard", F.explode("q").alias("x")).select("x.source", "shard", "x.quota")
+        per = state.groupBy("shard", "family").agg(F.sum("quota").alias("quota"), F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("none"), F.col("source").alias("name"), "quota"))).alias("sources"))
+        per = cut(per)
+        node = per.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct(F.col("family").alias("name"), "quota"))).alias("families"))
+        every = F.aggregate("families", F.lit(0).cast("long"), lambda a, x: a + x["quota"])
+        half = F.floor((every + F.pmod(F.xxhash64(F.lit(SEED), "shard", F.lit(size)), F.lit(2))) / 2)
+        node = node.select("shard", F.explode(F.arrays_zip(F.transform("families", lambda x: x["name"]).alias("family"), _draw(half, "families", F.lit("family"), F.col("shard"), F.lit(size)).alias("need"))).alias("x"))
+        drawn = per.drop("quota").join(node.select("shard", "x.family", "x.need"), ["shard", "family"])
+        drawn = drawn.withColumn("got", _draw(F.col("need"), "sources", F.col("shard"), F.lit(size)))
+        each = drawn.select("shard", "family", F.explode(F.transform("sources", lambda x, i: F.struct(x["name"].alias("source"), x["quota"].alias("quota"), F.get("got", i).alias("got")))).alias("x"))
+        sides = F.array(F.struct(F.col("shard").alias("shard"), F.col("x.got").alias("quota")), F.struct((F.col("shard") + size).alias("shard"), (F.col("x.quota") - F.col("x.got")).alias("quota")))
+        state = each.select("family", F.col("x.source").alias("source"), F.explode(sides).alias("y")).select("y.shard", "family", "source", "y.quota").where("quota > 0")
+    return state.select("source", "shard", "quota")
 
 
 def deal(blocks: DataFrame, shards: int) -> DataFrame:
@@ -166,10 +183,14 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), shards: int = SHARDS
 def mixture(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs' rows as often as they are taken, plus shard and position (order within the shard), ready to be written.
 
-    Columns of docs that are named shard or position give way. Rows with the same doc_id and text share their draws.
+    Rows are placed by shard and by a slice of positions, and shuffled locally: each slice lies in one partition, in the
+    order of its positions. Columns of docs that are named shard or position give way. Rows with the same doc_id and text
+    share their draws.
     """
     keyed = docs.drop("shard", "position").withColumn("__key", F.xxhash64("doc_id", "text"))
     taken = mix(keyed, keep=("doc_id", "__key"), shards=shards).where("copies > 0").groupBy("doc_id", "__key").agg(F.max("shards").alias("shards"), F.min("h").alias("h"))
     at = taken.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), "h", F.posexplode("shards").alias("__copy", "shard"))
     at = at.select("__id", "__k", "shard", _unit(F.lit("position"), "h", "__copy").alias("position"))
-    return keyed.join(at, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k"))).drop("__id", "__k", "__key")
+    rows = keyed.join(at, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k"))).drop("__id", "__k", "__key")
+    slices = rows.withColumn("__slice", F.floor(F.col("position") * SLICES)).repartition("shard", "__slice")
+    return slices.sortWithinPartitions("shard", "position").drop("__slice")
