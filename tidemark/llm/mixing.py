@@ -142,16 +142,27 @@ def deal(blocks: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("source", "block").agg(F.transform(in_order, lambda x: x["shard"]).alias("shards"))
 
 
+def _place(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """rows (source, h and `some`: whether there is a word) with their source's size and target and their block."""
+    right = small_side(per.withColumnRenamed("source", "__s"))
+    placed = rows.join(right, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    return placed.withColumn("block", F.when(F.col("some"), F.floor(F.col("h") * F.col("n_blocks")))).drop("n_blocks")
+
+
+def _with_blocks(placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """placed rows with part and shards of their block."""
+    right = small_side(blocks.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "part", "shards"))
+    return placed.join(right, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left").drop("__s", "__b")
+
+
 def _plan(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """The documents' thin rows with their block, and what is taken of each block.
+    """Sizes and targets of the sources, and what is taken of each block.
 
-    rows: source, size, h and more. Blocks: source, block, part (the words that a last, partial pass takes of this
+    rows: source, size, h and more, thin. Blocks: source, block, part (the words that a last, partial pass takes of this
     block; -1 for all, 0 for none) and shards (one for each draw of the block, the partial one last).
     """
     per = cut(targets(rows))
-    right = small_side(per.withColumnRenamed("source", "__s"))
-    docs = rows.join(right, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    docs = docs.withColumn("block", F.when(F.col("size") > 0, F.floor(F.col("h") * F.col("n_blocks"))))
+    docs = _place(rows.withColumn("some", F.col("size") > 0), per)
     blocks = docs.where("block is not null").groupBy("source", "block", "source_size", "target").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("source").orderBy(_unit(F.lit("order"), "source", "block"), "block")
     passes = F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(int(MOST)))
@@ -161,22 +172,32 @@ def _plan(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
     blocks = cut(blocks.withColumn("part", part).select("source", "block", "passes", "part"))
     dealt = deal(blocks, shards).select(F.col("source").alias("__s"), F.col("block").alias("__b"), "shards")
     blocks = blocks.join(dealt, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left")
-    return docs, cut(blocks.select("source", "block", "part", "shards"))
+    return per, cut(blocks.select("source", "block", "part", "shards"))
 
 
-def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), shards: int = SHARDS) -> DataFrame:
-    """Per document: keep, source, size, source_size, target, copies, shards (one for each copy) and h."""
-    rows = cut(docs.select(*keep, F.col("source"), n_words(F.col("text")).alias("size"), _unit("doc_id", "text").alias("h")))
-    dealt, blocks = _plan(rows, shards)
-    right = blocks.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "part", "shards")
-    out = dealt.join(right, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left").drop("__s", "__b")
-    # in the one block of a source where its target falls, documents are taken while more than half of each fits
+def _cut_off(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """rows of blocks in which a target falls, with `less`: 0 while more than half of a document fits, then 1."""
     within = Window.partitionBy("source", "block").orderBy("h", *[F.col(c) for c in keep], "size")
-    some = out.where("part > 0")
-    some = some.withColumn("__less", F.when(F.sum("size").over(within) - F.col("size") / 2 <= F.col("part"), 0).otherwise(1))
-    out = out.where("part <= 0 or part is null").withColumn("__less", F.lit(0)).unionByName(some)
+    some = rows.where("part > 0")
+    return some.withColumn("less", F.when(F.sum("size").over(within) - F.col("size") / 2 <= F.col("part"), 0).otherwise(1))
+
+
+def _shards(less: Column) -> Column:
     got = F.coalesce("shards", F.array().cast("array<int>"))
-    out = out.withColumn("shards", F.slice(got, 1, F.size(got) - F.col("__less")))
+    return F.slice(got, 1, F.size(got) - less)
+
+
+def _thin(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return cut(docs.select(*keep, F.col("source"), n_words(F.col("text")).alias("size"), _unit("doc_id", "text").alias("h")))
+
+
+def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), shards: int = SHARDS) -> DataFrame:
+    """Per document: keep, source, size, source_size, target, copies, shards (one for each copy) and h."""
+    rows = _thin(docs, keep)
+    per, blocks = _plan(rows, shards)
+    out = _with_blocks(_place(rows.withColumn("some", F.col("size") > 0), per), blocks)
+    out = out.where("part <= 0 or part is null").withColumn("less", F.lit(0)).unionByName(_cut_off(out, keep))
+    out = out.withColumn("shards", _shards(F.col("less")))
     return out.select(*keep, "source", "size", "source_size", "target", F.size("shards").cast("long").alias("copies"), "shards", "h")
 
 
@@ -187,10 +208,19 @@ def mixture(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     order of its positions. Columns of docs that are named shard or position give way. Rows with the same doc_id and text
     share their draws.
     """
-    keyed = docs.drop("shard", "position").withColumn("__key", F.xxhash64("doc_id", "text"))
-    taken = mix(keyed, keep=("doc_id", "__key"), shards=shards).where("copies > 0").groupBy("doc_id", "__key").agg(F.max("shards").alias("shards"), F.min("h").alias("h"))
-    at = taken.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), "h", F.posexplode("shards").alias("__copy", "shard"))
-    at = at.select("__id", "__k", "shard", _unit(F.lit("position"), "h", "__copy").alias("position"))
-    rows = keyed.join(at, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k"))).drop("__id", "__k", "__key")
-    slices = rows.withColumn("__slice", F.floor(F.col("position") * SLICES)).repartition("shard", "__slice")
-    return slices.sortWithinPartitions("shard", "position").drop("__slice")
+    names = [c for c in docs.columns if c not in ("shard", "position")]
+    key = F.xxhash64("doc_id", "text")
+    rows = _thin(docs.withColumn("__key", key), ["doc_id", "__key"])
+    per, blocks = _plan(rows, shards)
+    # what is taken of a document follows from its block alone, but for the one block of a source in which its target
+    # falls; so texts meet the small table of blocks, and those few rows the verdicts on them, and move once, to their shard
+    own = docs.select(F.struct(*names).alias("__doc"), "source", key.alias("__key"), _unit("doc_id", "text").alias("h"), (F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) != "").alias("some"))
+    dealt = _with_blocks(_place(own, per), blocks).where(F.size("shards") > 0)
+    verdicts = _cut_off(_with_blocks(_place(rows.withColumn("some", F.col("size") > 0), per), blocks), ["doc_id", "__key"])
+    verdicts = verdicts.groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__k")).agg(F.min("less").alias("less"))
+    unsure = dealt.where("part > 0").join(small_side(verdicts), F.col("__doc.doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k"))).drop("__id", "__k")
+    taken = dealt.where("part <= 0").withColumn("less", F.lit(0)).unionByName(unsure)
+    at = taken.select("__doc", "h", F.posexplode(_shards(F.col("less"))).alias("__copy", "shard"))
+    placed = at.select("__doc", "shard", _unit(F.lit("position"), "h", "__copy").alias("position"))
+    slices = placed.repartition("shard", F.floor(F.col("position") * SLICES)).sortWithinPartitions("shard", "position")
+    return slices.select("__doc.*", "shard", "position")
