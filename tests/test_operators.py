@@ -211,8 +211,8 @@ def test_taxonomy(spark):
         f"id int, action string, object string, function string, target string, stage string, source string, entities {e}, evidence_type string")
     t = firms.activity_flags(firms.taxonomy(df, [("support|service", "Service")], [("acme", "Acme")], [("assistant", "Assistant")])).orderBy("id").collect()
     assert (t[0].function_family, t[0].provider_families, t[0].provider_family, t[0].activity) == ("Service", ["Acme", "proprietary"], "Acme", "deploy · Assistant")
-    assert t[0].customer_facing and t[0].third_party and t[0].named_function and not t[0].invests
-    assert (t[1].function_family, t[1].provider_family, t[1].object_family) == ("unspecified", "unspecified", "AI, unspecified object") and t[1].invests and not t[1].named_function
+    assert t[0].customer_facing_deployment and t[0].third_party_ai and t[0].named_function and t[0].third_party_named_provider and not t[0].infrastructure_investment
+    assert (t[1].function_family, t[1].provider_family, t[1].object_family) == ("unspecified", "unspecified", "AI, unspecified object") and t[1].infrastructure_investment and not t[1].named_function
     a = spark.createDataFrame([("A", "h", "call", D(2024, 1, 1)), ("A", "h", "filing", D(2024, 2, 1))], "firm string, h string, channel string, d date")
     one = firms.one_per_firm(a, "firm", ["h"], "channel", "d").collect()
     assert [(r.channel, r.first_seen) for r in one] == [("filing", D(2024, 1, 1))]

@@ -80,13 +80,34 @@ def fold_lower(x: Column) -> Column:
     return F.lower(F.translate(x, "İΣ", "iσ"))
 
 
+# Divisions by upper bound of the four-digit code, sectors by ranges of its first two digits (first match).
+DIVISIONS = (
+    (2000, "Mining & Construction"), (4000, "Manufacturing"), (5000, "Transport & Utilities"), (6000, "Wholesale & Retail"), (6800, "Finance, Ins. & Real Estate"), (9000, "Services"),
+)
+SECTORS = (
+    ("Technology", ((73, 73), (35, 36))), ("Communications", ((48, 48),)), ("Healthcare & Pharma", ((28, 28), (38, 38), (80, 80))), ("Financial Services", ((60, 67),)), ("Industrials & Mfg", ((20, 39),)),
+    ("Transportation", ((40, 47),)), ("Utilities", ((49, 49),)), ("Energy & Mining", ((10, 14), (29, 29))), ("Retail & Wholesale", ((50, 59),)), ("Business Services", ((70, 89),)),
+)
+OTHER_SECTOR = "Other / Diversified"
+
+
 def sic_division(sic: Column) -> Column:
-    """Division of an industry code given as text or number; null if it is no number."""
-    code = F.lpad(F.trim(sic.cast("string")), 4, "0").substr(1, 2).try_cast("int")
-    bounds = [(9, "Agriculture"), (14, "Mining"), (17, "Construction"), (39, "Manufacturing"), (49, "Transport and utilities"), (59, "Trade"), (67, "Finance"), (99, "Services")]
-    out: Column | None = None
-    for high, name in bounds:
-        out = F.when(code <= high, name) if out is None else out.when(code <= high, name)
+    """Broad division of an industry code given as text or number; what is no number is diversified."""
+    out, code = F.lit(OTHER_SECTOR), sic.cast("string").try_cast("int")
+    for high, name in reversed(DIVISIONS):
+        out = F.when(code < high, name).otherwise(out)
+    return out
+
+
+def sic_sector(sic: Column) -> Column:
+    """Economic sector by the first two digits of the code, padded to four."""
+    group = F.substring(F.lpad(sic.cast("string"), 4, "0"), 1, 2).try_cast("int")
+    out = F.lit(OTHER_SECTOR)
+    for name, spans in reversed(SECTORS):
+        hit = F.lit(False)
+        for low, high in spans:
+            hit = hit | group.between(low, high)
+        out = F.when(hit, name).otherwise(out)
     return out
 
 

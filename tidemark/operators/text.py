@@ -105,15 +105,39 @@ def broadcast_back(instances: DataFrame, derived: DataFrame, key: str) -> DataFr
 
 
 def lexical_score(df: DataFrame, text: str, strong: Sequence[str], weak: Sequence[str]) -> DataFrame:
-    """strong_terms and weak_terms (in list order), strong and weak flags."""
+    """strong_terms and weak_terms (in list order), strong and weak flags.
+
+    A text is folded once and searched once: at every word start the longest listed term that ends at a word end is
+    taken, and a term counts as found too where a longer one begins with it.
+    """
     import re
 
-    low = fold_lower(F.col(text))
-    found = lambda terms: F.array_compact(F.array(*[F.when(low.rlike(f"(^|[^a-z0-9]){re.escape(t)}([^a-z0-9]|$)"), F.lit(t)) for t in terms]))
-    out = df.withColumn("strong_terms", found(strong)).withColumn("weak_terms", found(weak))
+    terms = sorted({*strong, *weak}, key=lambda t: (-len(t), t))
+    begins = {t: [x for x in terms if x == t or (x.startswith(t) and not x[len(t)].isalnum())] for t in terms}
+    some = "|".join(re.escape(t) for t in terms)
+    hits = F.array_distinct(F.regexp_extract_all(F.col("__low"), F.lit(f"(?<![a-z0-9])(?=({some})(?![a-z0-9]))"), F.lit(1))) if terms else F.array().cast("array<string>")
+    found = lambda own: F.array_compact(F.array(*[F.when(F.arrays_overlap("__hits", F.array(*[F.lit(x) for x in begins[t]])), F.lit(t)) for t in own])) if own else F.array().cast("array<string>")
+    out = df.withColumn("__low", fold_lower(F.col(text))).withColumn("__hits", hits)
+    out = out.withColumn("strong_terms", found(strong)).withColumn("weak_terms", found(weak)).drop("__low", "__hits")
     return out.withColumn("strong", F.size("strong_terms") > 0).withColumn("weak", F.size("weak_terms") > 0)
 
 
+def entity_pattern(names: Sequence[str]) -> str:
+    """Any of the names, not inside a longer word; to be found in folded text."""
+    import re
+
+    return "(^|[^a-z0-9])(" + "|".join(re.escape(n).replace(r"\ ", " ") for n in names) + ")([^a-z0-9]|$)"
+
+
+def with_override(df: DataFrame, text: str, probability: str, threshold: float, names: Sequence[str]) -> DataFrame:
+    """named_entity_match and is_prefiltered: the model's probability reaches the threshold, or a name is mentioned.
+
+    A null text mentions nothing, a null probability reaches nothing.
+    """
+    named = F.coalesce(fold_lower(F.col(text)).rlike(entity_pattern(names)), F.lit(False))
+    return df.withColumn("named_entity_match", named).withColumn("is_prefiltered", F.coalesce(F.col(probability) >= threshold, F.lit(False)) | F.col("named_entity_match"))
+
+
 def semantic_score(vectors: DataFrame, vec: str, anchors: Mapping[str, Sequence[Sequence[float]]], negative: str = "negative") -> DataFrame:
     """Per category the largest dot product, the margin of the best over the negatives, and the best category.
 

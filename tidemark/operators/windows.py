@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import earlier_midrank as earlier_midrank
+
 
 def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__rn = 1").drop("__rn")
@@ -55,25 +57,6 @@ def sequence_labels(df: DataFrame, by: Sequence[str], year: str, quarter: str, d
     return df.withColumn("sequence", label)
 
 
-def earlier_midrank(df: DataFrame, period: str, value: str) -> DataFrame:
-    """Mid-rank of a value among all values of earlier periods; in the first period among its own.
-
-    Values are counted per (period, value) first. A period's earlier counts come from a join on period alone, of the
-    distinct values only: its size is periods times distinct values, whatever the number of rows.
-    """
-    cells = df.where(F.col(value).isNotNull()).groupBy(F.col(period).alias("__p"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    periods = cells.groupBy("__p").agg(F.lit(True).alias("__any")).withColumn("__first", F.min("__p").over(Window.partitionBy()))
-    asked = cells.select(F.col("__p").alias("__at"), F.col("__v"), F.lit(None).cast("long").alias("__n"))
-    reach = periods.select(F.col("__p").alias("__at"), "__first")
-    held = cells.join(F.broadcast(reach), (F.col("__p") < F.col("__at")) | ((F.col("__at") == F.col("__first")) & (F.col("__p") == F.col("__at")))).groupBy("__at", "__v").agg(F.sum("__n").alias("__n"))
-    both = asked.unionByName(held).groupBy("__at", "__v").agg(F.sum("__n").alias("__n"), F.count(F.when(F.col("__n").isNull(), 1)).alias("__asked"))
-    w = Window.partitionBy("__at").orderBy("__v")
-    upto = F.sum(F.coalesce("__n", F.lit(0))).over(w)
-    rank = both.withColumn("__upto", upto).withColumn("__all", F.sum(F.coalesce("__n", F.lit(0))).over(Window.partitionBy("__at")))
-    rank = rank.where("__asked > 0").withColumn("pit_rank", F.when(F.col("__all") > 0, (2 * F.col("__upto") - F.coalesce("__n", F.lit(0))) / (2 * F.col("__all")))).select("__at", "__v", "pit_rank")
-    return df.join(rank, (F.col(period) == F.col("__at")) & (F.col(value) == F.col("__v")), "left").drop("__at", "__v")
-
-
 def guarded_growth(df: DataFrame, by: Sequence[str], day: str, value: str, gap: tuple[int, int] = (340, 380)) -> DataFrame:
     """Growth on the row before, only where the days between lie within `gap` and the base is positive."""
     w = Window.partitionBy(*by).orderBy(day)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 from ..functions.hashing import seeded
 from ..operators import joins as J
+from ..operators import ranks as R
 from ..operators import windows as W
 from ..session import table
 from .registry import query
@@ -65,11 +66,21 @@ def case_when(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(size.alias("size_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT division, count(*) AS n FROM (SELECT CASE WHEN c <= 9 THEN 'Agriculture' WHEN c <= 14 THEN 'Mining' WHEN c <= 17 THEN 'Construction' WHEN c <= 39 THEN 'Manufacturing'
- WHEN c <= 49 THEN 'Transport and utilities' WHEN c <= 59 THEN 'Trade' WHEN c <= 67 THEN 'Finance' WHEN c <= 99 THEN 'Services' END AS division
- FROM (SELECT TRY_CAST(substr(lpad(CAST(p_partkey * 7 % 10000 AS VARCHAR), 4, '0'), 1, 2) AS INT) AS c FROM part)) GROUP BY 1""")
+_SIC = "TRY_CAST(p_partkey * 7 % 10000 AS INTEGER)"
+_SIC2 = "TRY_CAST(substr(lpad(CAST(p_partkey * 7 % 10000 AS VARCHAR), 4, '0'), 1, 2) AS INTEGER)"
+
+
+def _sector_sql() -> str:
+    """The two tiers from the tables of bounds and groups that the expressions use."""
+    first = " ".join(f"WHEN {_SIC} < {high} THEN '{name}'" for high, name in S.DIVISIONS)
+    second = " ".join(f"WHEN {' OR '.join(f'{_SIC2} BETWEEN {a} AND {b}' for a, b in spans)} THEN '{name}'" for name, spans in S.SECTORS)
+    return f"SELECT CASE {first} ELSE '{S.OTHER_SECTOR}' END AS division, CASE {second} ELSE '{S.OTHER_SECTOR}' END AS sector, count(*) AS n FROM part GROUP BY 1, 2"
+
+
+@query(_sector_sql())
 def case_sector(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").groupBy(S.sic_division(F.col("p_partkey") * 7 % 10000).alias("division")).agg(F.count(F.lit(1)).alias("n"))
+    sic = F.col("p_partkey") * 7 % 10000
+    return table(spark, d, "part").groupBy(S.sic_division(sic).alias("division"), S.sic_sector(sic).alias("sector")).agg(F.count(F.lit(1)).alias("n"))
 
 
 RULES = [("credit|fraud|risk", "Control"), ("green|blue", "Sell"), ("steel|iron|copper", "Build"), ("^[a-m]", "Serve")]
@@ -219,7 +230,7 @@ def quarterly(spark: SparkSession, d: str) -> DataFrame:
     return J.grid(table(spark, d, "customer").select("c_custkey"), o.select("q").distinct(), sums, ["c_custkey", "q"], ["n", "v"])
 
 
-@query(f"SELECT c_custkey, CAST(q AS INT) AS q, CAST(n AS BIGINT) AS n, v FROM ({_GRID}) WHERE c_custkey % 5 = 0 OR n > 0")
+@query(f"SELECT c_custkey, CAST(q AS INT) AS q, CAST(n AS BIGINT) AS n, v FROM ({_GRID})")
 def join_cross_grid(spark: SparkSession, d: str) -> DataFrame:
     return quarterly(spark, d).withColumn("v", F.round("v", 2))
 
@@ -344,12 +355,9 @@ def agg_corr_regr(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH r AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS b FROM orders) SELECT round(corr(a, b), 6) AS spearman FROM r")
 def agg_spearman(spark: SparkSession, d: str) -> DataFrame:
-    # counts per value first, so that the one global order is over distinct values
-    def ranked(c: str) -> DataFrame:
-        g = table(spark, d, "orders").groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        return g.select(c, (F.sum("n").over(Window.orderBy(c)) - (F.col("n") - 1) / 2).alias(f"r_{c}"))
-
-    o = table(spark, d, "orders").join(ranked("o_totalprice"), "o_totalprice").join(ranked("o_custkey"), "o_custkey")
+    o = table(spark, d, "orders").select("o_totalprice", "o_custkey")
+    for c in ("o_totalprice", "o_custkey"):
+        o = o.join(R.midranks(o, c).withColumnRenamed("rank", f"r_{c}"), c)
     return o.agg(F.round(F.corr("r_o_totalprice", "r_o_custkey"), 6).alias("spearman"))
 
 
@@ -435,15 +443,14 @@ def win_rank_pct_tails(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH x AS (SELECT o_orderkey, year(o_orderdate) AS y, floor(o_totalprice / 1000) AS v FROM orders), f AS (SELECT min(y) AS y0 FROM x), c AS (SELECT y, v, count(*) AS n FROM x GROUP BY 1, 2), r AS (SELECT a.y, a.v, (sum(CASE WHEN b.v < a.v THEN b.n ELSE 0 END) + sum(CASE WHEN b.v <= a.v THEN b.n ELSE 0 END)) / (2.0 * sum(b.n)) AS p FROM c a, f, c b WHERE b.y < a.y OR (a.y = y0 AND b.y = a.y) GROUP BY 1, 2) SELECT o_orderkey, round(p, 8) AS pit_rank FROM x LEFT JOIN r ON x.y = r.y AND x.v = r.v")
 def win_pit_rank(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.floor(F.col("o_totalprice") / 1000).alias("v"))
-    return W.earlier_midrank(x, "y", "v").select("o_orderkey", F.round("pit_rank", 8).alias("pit_rank"))
+    return R.earlier_midrank(x, "y", "v").select("o_orderkey", F.round("pit_rank", 8).alias("pit_rank"))
 
 
 @query("SELECT a.o_orderkey, round(1.0 * (SELECT count(*) FROM orders b WHERE b.o_orderstatus = 'F' AND b.o_totalprice <= a.o_totalprice) / (SELECT count(*) FROM orders WHERE o_orderstatus = 'F'), 8) AS ecdf FROM orders a WHERE o_orderstatus = 'P'")
 def win_ecdf(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").where("o_orderstatus IN ('F', 'P')").select("o_orderkey", "o_totalprice", (F.col("o_orderstatus") == "F").alias("train"))
-    counts = o.groupBy("o_totalprice").agg(F.count_if("train").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("o_totalprice")) / F.sum("n").over(Window.partitionBy())
-    return o.where("NOT train").join(counts.select("o_totalprice", F.round(upto, 8).alias("ecdf")), "o_totalprice").select("o_orderkey", "ecdf")
+    share = R.ecdf(o, "o_totalprice", "train")
+    return o.where("NOT train").join(share, "o_totalprice").select("o_orderkey", F.round("ecdf", 8).alias("ecdf"))
 
 
 @query("""WITH x AS (SELECT o_custkey AS k, year(o_orderdate) AS y, quarter(o_orderdate) AS q, min(CAST(o_orderdate AS DATE)) AS day FROM orders GROUP BY 1, 2, 3), z AS (SELECT k, y, q, y * 4 + q - lag(y * 4 + q) OVER w AS s, date_diff('day', lag(day) OVER w, day) AS g FROM x WINDOW w AS (PARTITION BY k ORDER BY day))

@@ -35,8 +35,15 @@ class Catalog:
         self.tables[name] = Table(f"{self.root}/{name.replace('.', '/')}", tuple(keys), tuple(partitions), additive)
 
     def scan(self, name: str) -> DataFrame:
+        self._recover(self.tables[name].path)
         return self.spark.read.parquet(self.tables[name].path)
 
+    def _recover(self, path: str) -> None:
+        """Puts the version before back where a writer died after setting it aside and before its own was in place."""
+        (p, fs), (q, _) = self._fs(path), self._fs(f"{path}.previous")
+        if not fs.exists(p) and fs.exists(q):
+            self._move(f"{path}.previous", path)
+
     def view(self, name: str) -> str:
         """Registers the table as layer__name."""
         view = name.replace(".", "__")
@@ -59,8 +66,14 @@ class Catalog:
             self._delete(staged)
             raise ValueError(f"{name}: key {twice[0].asDict()} is not unique")
         manifest = {"table": name, "rows": done.count(), "columns": done.columns, "keys": list(t.keys), "keys_unique": True, "builder": builder, "built_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
-        self._delete(t.path)
+        # at every moment the table or the version before it is there, and _recover finds the latter
+        self._recover(t.path)
+        self._delete(f"{t.path}.previous")
+        p, fs = self._fs(t.path)
+        if fs.exists(p):
+            self._move(t.path, f"{t.path}.previous")
         self._move(staged, t.path)
+        self._delete(f"{t.path}.previous")
         self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{t.path}.manifest")
         return manifest
 
@@ -69,12 +82,10 @@ class Catalog:
 
     def append_run(self, name: str, df: DataFrame, run_id: str) -> None:
         """A run's rows under their own partition; writing the same run again replaces it."""
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("run_id").parquet(self.tables[name].path)
+        df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(self.tables[name].path)
 
     def overwrite_partition(self, name: str, df: DataFrame) -> None:
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        df.write.mode("overwrite").partitionBy(*self.tables[name].partitions).parquet(self.tables[name].path)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.tables[name].partitions).parquet(self.tables[name].path)
 
     def pending(self, population: DataFrame, done: str, key: str) -> DataFrame:
         """Rows of the population whose key the table does not have yet."""
