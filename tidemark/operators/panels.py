@@ -77,6 +77,21 @@ def gap_index(panel: DataFrame, period: str, volume: str, count: str, grounding:
     return df.join(cut, period).withColumn("high_tail", F.col("w") >= F.col("__hi")).withColumn("low_tail", F.col("w") <= F.col("__lo")).drop("__hi", "__lo")
 
 
+def quadrant_screen(panel: DataFrame, unit: str, period: str) -> DataFrame:
+    """unit, period, expanding, persistent and quadrant of a panel with w, pct_volume and pct_substance.
+
+    expanding: the mean of w up to the period. persistent: w was at or over its period's median in two rows in a row, at
+    any time. quadrant: by whether volume and substance reach their period's medians.
+    """
+    own, over = Window.partitionBy(unit).orderBy(period), Window.partitionBy(unit)
+    middle = panel.groupBy(period).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__m_{c}") for c in ("w", "pct_volume", "pct_substance")])
+    df = panel.join(middle, period).withColumn("expanding", F.avg("w").over(own)).withColumn("__above", F.col("w") >= F.col("__m_w"))
+    df = df.withColumn("__twice", F.col("__above") & F.coalesce(F.lag("__above").over(own), F.lit(False)))
+    loud, solid = F.col("pct_volume") >= F.col("__m_pct_volume"), F.col("pct_substance") >= F.col("__m_pct_substance")
+    quadrant = F.when(loud & solid, "VALIDATE").when(loud, "INVESTIGATE").when(solid, "EXPLORE").otherwise("DEPRIORITIZE")
+    return df.select(unit, period, "expanding", F.max("__twice").over(over).alias("persistent"), quadrant.alias("quadrant"))
+
+
 def vendor_presence(mentions: DataFrame, doc: str, family: str, families: Sequence[str], self_of: str | None = None) -> DataFrame:
     """Per document, whether and how often each listed family is mentioned; mentions of the document's own are left out."""
     own = mentions if self_of is None else mentions.where(~F.col(family).eqNullSafe(F.col(self_of)))

@@ -122,6 +122,12 @@ def lexical_score(df: DataFrame, text: str, strong: Sequence[str], weak: Sequenc
     return out.withColumn("strong", F.size("strong_terms") > 0).withColumn("weak", F.size("weak_terms") > 0)
 
 
+def term_sentences(sentences: DataFrame, keys: Sequence[str], text: str, terms: Sequence[str], score: Column, longer_than: int = 15) -> DataFrame:
+    """keys, n, most, least, mean of a score over the sentences that hold a term and are longer than so many characters."""
+    some = sentences.where((F.length(text) > longer_than) & fold_lower(F.col(text)).rlike(entity_pattern(terms)))
+    return some.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(score).cast("long").alias("most"), F.min(score).cast("long").alias("least"), F.avg(score).alias("mean"))
+
+
 def entity_pattern(names: Sequence[str]) -> str:
     """Any of the names, not inside a longer word; to be found in folded text."""
     import re

@@ -86,10 +86,12 @@ def posture_rates(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("y").agg(F.round(F.avg(F.col("f") / F.col("n")), 6).alias("rate_f"), F.round(F.avg(F.col("u") / F.col("n")), 6).alias("rate_u"), F.round(F.sum("f") / F.sum("n"), 6).alias("pooled_f"))
 
 
-@query("SELECT 'buyers' AS table_name, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS missing, CAST(0 AS BIGINT) AS outside, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS duplicates, CAST(0 AS BIGINT) AS mismatched")
+@query("""WITH o AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 10000000 ELSE o_custkey END AS id, o_custkey % 25 AS nation FROM orders), s AS (SELECT c_custkey AS id, c_nationkey AS nation FROM customer), g AS (SELECT id, count(*) AS n, min(nation) AS nation FROM o GROUP BY 1)
+ SELECT 'buyers' AS table_name, (SELECT count(*) FROM s LEFT JOIN g USING (id) WHERE g.id IS NULL) AS missing, (SELECT count(*) FROM g LEFT JOIN s USING (id) WHERE s.id IS NULL) AS outside, (SELECT count(*) FROM g WHERE n > 1) AS duplicates, (SELECT count(*) FROM g JOIN s USING (id) WHERE g.nation IS DISTINCT FROM s.nation) AS mismatched""")
 def spine_alignment_check(spark: SparkSession, d: str) -> DataFrame:
-    spine = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    return P.alignment(spine, {"buyers": table(spark, d, "orders").select(F.col("o_custkey").alias("id"))}, "id")
+    spine = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+    buyers = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 11 == 0, F.col("o_custkey") + 10000000).otherwise(F.col("o_custkey")).alias("id"), (F.col("o_custkey") % 25).cast("int").alias("nation"))
+    return P.alignment(spine, {"buyers": buyers}, "id", ["nation"])
 
 
 @query("SELECT c_custkey AS id, c_nationkey AS nation, n, last FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -152,13 +154,12 @@ def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count(F.lit(1)).alias("n"), share(F.col("c_acctbal")).alias("coverage"), share(F.when(F.col("c_mktsegment") != "BUILDING", 1)).alias("segment_coverage"))
 
 
-@query(f"WITH {_PANEL}, w AS (SELECT k, y, volume, avg(volume) OVER (PARTITION BY k ORDER BY y) AS ew, lag(y) OVER (PARTITION BY k ORDER BY y) AS py FROM p), z AS (SELECT y, quantile_cont(volume, 0.5) AS med FROM p GROUP BY 1) SELECT k, w.y, CASE WHEN volume > med THEN CASE WHEN py = w.y - 1 THEN 'INVESTIGATE' ELSE 'EXPLORE' END ELSE 'DEPRIORITIZE' END AS quadrant, round(ew, 4) AS expanding FROM w JOIN z ON w.y = z.y")
+@query(f"""WITH {_PANEL}, w AS (SELECT k, y, pv, ps, avg(pv - ps) OVER (PARTITION BY k ORDER BY y) AS w_exp, pv - ps AS w FROM r), middle AS (SELECT y, median(w) AS med, median(pv) AS mv, median(ps) AS ms FROM w GROUP BY 1),
+ a AS (SELECT w.*, mv, ms, w >= med AS above FROM w JOIN middle USING (y)), b AS (SELECT *, above AND coalesce(lag(above) OVER (PARTITION BY k ORDER BY y), false) AS twice FROM a)
+ SELECT k, y, round(w_exp, 6) AS expanding, bool_or(twice) OVER (PARTITION BY k) AS persistent, CASE WHEN pv >= mv AND ps >= ms THEN 'VALIDATE' WHEN pv >= mv THEN 'INVESTIGATE' WHEN ps >= ms THEN 'EXPLORE' ELSE 'DEPRIORITIZE' END AS quadrant FROM b""")
 def persistence_quadrant_screen(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("k").orderBy("y")
-    x = yearly(spark, d).withColumn("ew", F.avg("volume").over(w)).withColumn("py", F.lag("y").over(w))
-    x = x.withColumn("med", F.percentile("volume", F.lit(0.5)).over(Window.partitionBy("y")))
-    q = F.when(F.col("volume") > F.col("med"), F.when(F.col("py") == F.col("y") - 1, "INVESTIGATE").otherwise("EXPLORE")).otherwise("DEPRIORITIZE")
-    return x.select("k", "y", q.alias("quadrant"), F.round("ew", 4).alias("expanding"))
+    g = P.gap_index(yearly(spark, d), "y", "volume", "n", [("a", "n"), ("b", "n")])
+    return P.quadrant_screen(g, "k", "y").withColumn("expanding", F.round("expanding", 6))
 
 
 @query()
@@ -176,9 +177,3 @@ def archetypal_analysis(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_cluster(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_nationkey", "c_acctbal")
     return ST.bootstrap_clusters(c, "c_nationkey", 5, "b1").groupBy("replicate").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"))
-
-
-@query("WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS v FROM orders GROUP BY 1) SELECT count(*) AS months, round(avg(v), 2) AS mean FROM m")
-def its_months(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("date").alias("month")).agg(F.avg("o_totalprice").alias("v"))
-    return m.agg(F.count(F.lit(1)).alias("months"), F.round(F.avg("v"), 2).alias("mean"))
