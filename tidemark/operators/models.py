@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import newey_west
+from .stats import newey_west, t_tail
 
 
 def within(df: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
@@ -168,3 +168,50 @@ def residual(df: DataFrame, y: str, x: str, name: str) -> DataFrame:
     """df with what a line of y on x leaves of y; null where either is null."""
     line = df.agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a")).first()
     return df.withColumn(name, F.col(y) - F.lit(line.a) - F.lit(line.b) * F.col(x))
+
+
+def correlations(df: DataFrame, a: str, b: str, group: str, order: str) -> dict[str, dict]:
+    """Pearson's r with n and two-sided p: over all rows, within groups (less group means), and of first differences."""
+    ok = df.dropna(subset=[a, b, group, order])
+    own, along = Window.partitionBy(group), Window.partitionBy(group).orderBy(order)
+    x = ok.select(F.col(a).alias("a0"), F.col(b).alias("b0"), *[(F.col(c) - F.avg(c).over(own)).alias(f"{n}1") for c, n in ((a, "a"), (b, "b"))], *[(F.col(c) - F.lag(c).over(along)).alias(f"{n}2") for c, n in ((a, "a"), (b, "b"))])
+    r = x.agg(*[f.alias(f"{n}{i}") for i in range(3) for n, f in (("r", F.corr(f"a{i}", f"b{i}")), ("n", F.count(F.when(F.col(f"a{i}").isNotNull() & F.col(f"b{i}").isNotNull(), 1))))]).first()
+    groups = ok.select(group).distinct().count()
+    out = {}
+    for i, name in enumerate(("pooled", "within", "difference")):
+        rho, n = r[f"r{i}"], r[f"n{i}"]
+        free = n - 2 - (groups - 1 if name == "within" else 0)
+        tail = None if rho is None or free < 1 else 0.0 if abs(rho) >= 1 else t_tail(rho * math.sqrt(free / (1 - rho * rho)), free)
+        out[name] = {"r": rho, "n": n, "p": tail}
+    return out
+
+
+def variance_inflation(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """How much each regressor's variance is inflated by the others: the diagonal of the inverse correlation matrix."""
+    ok = df.dropna(subset=list(cols))
+    g = moments(ok, [F.lit(1.0), *[F.col(c).cast("double") for c in cols]])
+    mean = g[0, 1:] / g[0, 0]
+    cov = g[1:, 1:] / g[0, 0] - np.outer(mean, mean)
+    sd = np.sqrt(np.diag(cov))
+    return dict(zip(cols, np.diag(np.linalg.pinv(cov / np.outer(sd, sd))).tolist(), strict=True))
+
+
+def restriction(model: Mapping, r: np.ndarray, q: np.ndarray | None = None) -> float:
+    """F statistic of the linear restrictions r b = q."""
+    gap = r @ model["coef"] - (0 if q is None else q)
+    return float(gap @ np.linalg.pinv(r @ model["cov"] @ r.T) @ gap) / len(r)
+
+
+def robustness(df: DataFrame, y: str, x: Sequence[str], samples: Mapping[str, Column], leave_out: str | None = None, most: int = 200, **how) -> list[dict]:  # noqa: ANN003
+    """The same model on each named sample and, with leave_out, without each of that column's levels in turn (few; checked)."""
+    runs = [(name, df.where(rule)) for name, rule in samples.items()]
+    if leave_out is not None:
+        levels = [r[0] for r in df.select(leave_out).where(F.col(leave_out).isNotNull()).distinct().orderBy(leave_out).limit(most + 1).collect()]
+        if len(levels) > most:
+            raise ValueError(f"{leave_out} has more than {most} levels")
+        runs += [(f"without {v}", df.where(~F.col(leave_out).eqNullSafe(F.lit(v)))) for v in levels]
+    out = []
+    for name, part in runs:
+        m = fit(part, y, x, **how)
+        out += [{"sample": name, "term": t, "coef": float(b), "se": float(s), "n": m["n"]} for t, b, s in zip(m["terms"], m["coef"], m["se"], strict=True)]
+    return out

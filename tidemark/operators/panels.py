@@ -77,6 +77,28 @@ def gap_index(panel: DataFrame, period: str, volume: str, count: str, grounding:
     return df.join(cut, period).withColumn("high_tail", F.col("w") >= F.col("__hi")).withColumn("low_tail", F.col("w") <= F.col("__lo")).drop("__hi", "__lo")
 
 
+def disclosure_index(disclosure: DataFrame, activity: DataFrame, reports: DataFrame, unit: str, period: str, volume: str, active: str, count: str, grounding: Sequence[str], tail: float = 0.05) -> DataFrame:
+    """The index of units that disclose: w, its two ranks and the flags of its tails, within each period.
+
+    disclosure (volume, active), activity (count and the counts in `grounding`) and reports have a row a unit and period.
+    Rates are shrunk within the period over all activity rows. A period without a report of its own takes the activity of
+    the last one that had (before any has, the row goes); then rows that are not active go, and ranks are taken.
+    """
+    total = F.lit(0.0)
+    for g in grounding:
+        total = total + shrink(F.col(g), F.col(count), period)
+    shrunk = activity.select(unit, period, F.col(count).cast("double").alias("__c"), (total / len(grounding)).alias("__g"))
+    known = reports.select(unit, period).distinct().withColumn("__r", F.lit(True))
+    df = disclosure.select(unit, period, volume, active).join(shrunk, [unit, period], "left").join(known, [unit, period], "left")
+    upto = Window.partitionBy(unit).orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({c: F.last(F.when(F.col("__r"), F.col(c)), ignorenulls=True).over(upto) for c in ("__c", "__g")})
+    df = df.where(F.col("__c").isNotNull() & F.col("__g").isNotNull() & (F.col(active) > 0)).withColumn("substance", F.log1p("__c") * F.col("__g"))
+    df = df.withColumn("pct_volume", pct_rank(F.col(volume), period)).withColumn("pct_substance", pct_rank(F.col("substance"), period)).withColumn("w", F.col("pct_volume") - F.col("pct_substance"))
+    cut = df.groupBy(period).agg(F.percentile("w", F.lit(1 - tail)).alias("__hi"), F.percentile("w", F.lit(tail)).alias("__lo"))
+    df = df.join(cut, period).withColumn("high_tail", F.col("w") >= F.col("__hi")).withColumn("low_tail", F.col("w") <= F.col("__lo"))
+    return df.drop("__hi", "__lo", "__r").withColumnsRenamed({"__c": count, "__g": "grounding"})
+
+
 def quadrant_screen(panel: DataFrame, unit: str, period: str) -> DataFrame:
     """unit, period, expanding, persistent and quadrant of a panel with w, pct_volume and pct_substance.
 

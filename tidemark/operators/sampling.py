@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded
 
 
-def stratified(df: DataFrame, strata: Sequence[str], key: str, quota: int, seed: str) -> DataFrame:
+def stratified(df: DataFrame, strata: Sequence[str], key: str, quota: int, seed: str, order: Callable[[Column, str], Column] = seeded) -> DataFrame:
     """Up to `quota` rows of each stratum in hash order, with inclusion_weight = stratum rows / sampled rows."""
     w = Window.partitionBy(*strata)
-    df = df.withColumn("__r", F.row_number().over(w.orderBy(seeded(F.col(key), seed)))).withColumn("__n", F.count(F.lit(1)).over(w))
+    df = df.withColumn("__r", F.row_number().over(w.orderBy(order(F.col(key), seed)))).withColumn("__n", F.count(F.lit(1)).over(w))
     return df.where(F.col("__r") <= quota).withColumn("inclusion_weight", F.col("__n") / F.least("__n", F.lit(quota))).drop("__r", "__n")
 
 

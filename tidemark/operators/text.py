@@ -162,21 +162,52 @@ def semantic_score(vectors: DataFrame, vec: str, anchors: Mapping[str, Sequence[
     return out.withColumn("best_anchor", which).withColumn("margin", F.col("max_score") - F.col("negative_similarity"))
 
 
-def text_features(df: DataFrame, text: str, term: str) -> DataFrame:
-    """Length, density, person, markup and sentence signals of a text; `term` is the lexicon's alternation."""
-    low = fold_lower(F.coalesce(F.col(text), F.lit("")))
-    word = lambda p: rf"(?<![A-Za-z0-9_])({p})(?![A-Za-z0-9_])"
-    df = df.withColumn("__t", low)
-    t, count = F.col("__t"), lambda p: F.regexp_count("__t", F.lit(p)).cast("double")
-    length, n_words = F.greatest(F.length(t), F.lit(1)), F.greatest(count(r"[\t\n\f\r ]+") + 1, F.lit(1.0))
-    sentences = F.filter(F.regexp_extract_all("__t", F.lit(r"[^.!?\n|]+"), F.lit(0)), lambda s: F.length(s) > 2)
-    person = word("we|our|us|the company")
-    return df.select(
-        *[c for c in df.columns if c != "__t"], F.log(length + F.lit(1.0)).alias("log_len"), (count(word(term)) * 1000 / length).alias("term_per_1k"),
-        (count(person) * 100 / n_words).alias("first_person_per_100w"), (count(r"\|") * 100 / length).alias("pipe_rate"), (count("•") * 100 / length).alias("bullet_rate"), (count("[0-9]") * 100 / length).alias("digit_rate"),
-        (F.size(F.filter(sentences, lambda s: s.rlike(word(term)))) / F.greatest(F.size(sentences), F.lit(1))).alias("term_sentence_share"),
-        F.exists(sentences, lambda s: s.rlike(word(term)) & s.rlike(person)).alias("term_first_person"), F.log(F.greatest(F.size(sentences), F.lit(1)) + F.lit(1.0)).alias("log_n_sentences"),
-    )
+# Contexts in which a term is no disclosure, what makes a sentence the company's own, and the default terms.
+BIO = r"mr\.|ms\.|mrs\.|dr\.|director since|age [0-9]{2}|ph\.d|founder of|served as"
+VOTE = "stockholder proposal|shareholder proposal|votes cast|broker non-vote|abstentions"
+RULE = "federal register|final rule|executive order|export control"
+FIRST_PERSON = "we|our|us|the company"
+TERMS = (
+    "ai|ml|llm|llms|agi|nlp|gen[ ]ai|artificial[ ]intelligence|generative[ ]ai|genai|machine[ ]learning|deep[ ]learning|"
+    "large[ ]language[ ]models?|foundation[ ]models?|neural[ ]networks?"
+)
+SPELLED_OUT = (
+    "artificial intelligence", "generative ai", "gen ai", "machine learning", "deep learning", "large language model", "large language models",
+    "foundation model", "foundation models", "neural network", "neural networks",
+)
+FEATURES = (
+    "log_len", "strong_per_1k", "first_person_per_100w", "pipe_rate", "bullet_rate", "digit_rate", "bio_context", "vote_context", "rule_context", "acronym_only",
+    "ai_sent_share", "ai_sent_first_person", "log_n_sentences", "anchor_gap", "anchor_mean",
+)
+
+
+def text_features(df: DataFrame, text: str, term: str = TERMS, spelled_out: Sequence[str] = SPELLED_OUT, terms: str | None = None, anchors: Sequence[str] = ()) -> DataFrame:
+    """df with the FEATURES of a text: its length, what it is dense in, where it comes from, and its sentences.
+
+    term is the lexicon's alternation; terms names the array of terms found (acronym_only needs it), anchors the columns
+    of similarities (anchor_gap and anchor_mean need two or more). A feature that lacks its input is null.
+    """
+    whole = lambda p: rf"(?<![A-Za-z0-9_])({p})(?![A-Za-z0-9_])"
+    pieces = F.filter(F.regexp_extract_all("__t", F.lit(r"[^.!?\n|]+"), F.lit(0)), lambda s: F.length(s) > 2)
+    base = df.withColumn("__t", fold_lower(F.coalesce(F.col(text), F.lit("")))).withColumn("__s", pieces)
+    length, n_sentences = F.greatest(F.length("__t"), F.lit(1)), F.greatest(F.size("__s"), F.lit(1))
+    n_words = F.regexp_count("__t", F.lit(r"[\t\n\f\r ]+")) + 1
+    per = lambda p, scale, of: F.regexp_count("__t", F.lit(p)) * float(scale) / of
+    about = F.filter("__s", lambda s: s.rlike(whole(term)))
+    found: dict[str, Column] = {"log_len": F.log(length + F.lit(1.0)), "log_n_sentences": F.log(n_sentences + F.lit(1.0))}
+    for name, pattern, scale, of in (
+        ("strong_per_1k", whole(term), 1000, length), ("first_person_per_100w", whole(FIRST_PERSON), 100, n_words), ("pipe_rate", r"\|", 100, length), ("bullet_rate", "•", 100, length), ("digit_rate", "[0-9]", 100, length),
+    ):
+        found[name] = per(pattern, scale, of)
+    for name, pattern in (("bio_context", BIO), ("vote_context", VOTE), ("rule_context", RULE)):
+        found[name] = F.col("__t").rlike(pattern)
+    found["ai_sent_share"] = F.size(about) / n_sentences
+    found["ai_sent_first_person"] = F.exists(about, lambda s: s.rlike(whole(FIRST_PERSON)))
+    found["acronym_only"] = F.lit(None).cast("boolean") if terms is None else (F.size(terms) > 0) & ~F.arrays_overlap(F.col(terms), F.array(*[F.lit(x) for x in spelled_out]))
+    ranked = F.sort_array(F.array(*[F.col(c).cast("double") for c in anchors]), asc=False) if len(anchors) > 1 else None
+    found["anchor_gap"] = F.lit(None).cast("double") if ranked is None else F.get(ranked, 0) - F.get(ranked, 1)
+    found["anchor_mean"] = F.lit(None).cast("double") if ranked is None else F.aggregate(ranked, F.lit(0.0), lambda a, x: a + x) / len(anchors)
+    return base.select(*df.columns, *[found[name].alias(name) for name in FEATURES])
 
 
 def call_turns(turns: DataFrame, key: str, order: str, speaker: str, text: str, operator: str, handoff: str) -> DataFrame:

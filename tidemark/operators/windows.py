@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .ranks import earlier_midrank as earlier_midrank
 
 
+def keep_last(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The last row of each key in `order`; nulls stand where the order puts them."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__rn = __n").drop("__rn", "__n")
+
+
 def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__rn = 1").drop("__rn")
 

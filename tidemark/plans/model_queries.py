@@ -70,6 +70,19 @@ def residual_excess(spark: SparkSession, d: str) -> DataFrame:
     return M.residual(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", "r").groupBy("l_returnflag").agg(F.round(F.avg("r"), 4).alias("excess"))
 
 
+@query("""WITH x AS (SELECT o_custkey AS g, o_orderkey AS o, o_totalprice AS a, CAST(epoch(o_orderdate) AS DOUBLE) / 86400 AS b FROM orders), w AS (SELECT a, b, a - avg(a) OVER (PARTITION BY g) AS a1, b - avg(b) OVER (PARTITION BY g) AS b1, a - lag(a) OVER (PARTITION BY g ORDER BY o) AS a2, b - lag(b) OVER (PARTITION BY g ORDER BY o) AS b2 FROM x)
+ SELECT 'pooled' AS kind, round(corr(a, b), 8) AS r, count(*) AS n FROM w UNION ALL SELECT 'within', round(corr(a1, b1), 8), count(*) FROM w UNION ALL SELECT 'difference', round(corr(a2, b2), 8), count(a2) FROM w""")
+def agg_corr_forms(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("o"), F.col("o_totalprice").alias("a"), (F.unix_timestamp("o_orderdate") / 86400.0).alias("b"))
+    return spark.createDataFrame([(k, round(v["r"], 8), v["n"]) for k, v in M.correlations(o, "a", "b", "g", "o").items()], "kind string, r double, n long")
+
+
+@query("SELECT s AS sample, round(regr_slope(y, x), 4) AS coef, count(*) AS n FROM (SELECT l_quantity AS x, l_extendedprice AS y, unnest(CASE l_returnflag WHEN 'A' THEN ['all', 'without N', 'without R'] WHEN 'N' THEN ['all', 'without A', 'without R'] WHEN 'R' THEN ['all', 'without A', 'without N'] ELSE ['all', 'without A', 'without N', 'without R'] END) AS s FROM lineitem) GROUP BY 1")
+def robustness_blocks(spark: SparkSession, d: str) -> DataFrame:
+    rows = M.robustness(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], {"all": F.lit(True)}, "l_returnflag", errors="hc1")
+    return spark.createDataFrame([(r["sample"], round(r["coef"], 4), r["n"]) for r in rows if r["term"] == "l_quantity"], "sample string, coef double, n long")
+
+
 def _monthly(spark: SparkSession, d: str) -> list[tuple[int, float, float]]:
     """One row a month: ordinal, mean value and number of orders; a short series by nature."""
     m = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1

@@ -79,6 +79,15 @@ def gap_index(spark: SparkSession, d: str) -> DataFrame:
     return g.select("k", "y", F.round(F.round("substance", 9), 6).alias("substance"), F.round("pct_volume", 6).alias("pct_volume"))
 
 
+@query(f"""WITH {_PANEL}, s AS (SELECT k, y, volume, b, n, ((a + ma * sa) / (n + sa) + (b + mb * sb) / (n + sb)) / 2 AS gr, (k + y) % 3 <> 0 AS rep FROM t),
+ f AS (SELECT k, y, volume, b, last_value(CASE WHEN rep THEN n END IGNORE NULLS) OVER z AS nn, last_value(CASE WHEN rep THEN gr END IGNORE NULLS) OVER z AS gg FROM s WINDOW z AS (PARTITION BY k ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT k, y, round((rank() OVER (PARTITION BY y ORDER BY volume) + (count(*) OVER (PARTITION BY y, volume) - 1) / 2.0) / count(*) OVER (PARTITION BY y), 6) AS pct_volume, round(ln(1 + nn) * gg, 6) AS substance, CAST(nn AS DOUBLE) AS n FROM f WHERE nn IS NOT NULL AND b > 0""")
+def washing_index(spark: SparkSession, d: str) -> DataFrame:
+    p = yearly(spark, d)
+    x = P.disclosure_index(p.select("k", "y", "volume", F.col("b").alias("any")), p.select("k", "y", "n", "a", "b"), p.where("(k + y) % 3 <> 0"), "k", "y", "volume", "any", "n", ["a", "b"])
+    return x.select("k", "y", *[F.round(c, 6).alias(c) for c in ("pct_volume", "substance")], "n")
+
+
 @query("WITH p AS (SELECT o_custkey AS k, CAST(year(o_orderdate) AS INT) AS y, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderpriority = '1-URGENT') AS u FROM orders GROUP BY 1, 2) SELECT y, round(avg(1.0 * f / n), 6) AS rate_f, round(avg(1.0 * u / n), 6) AS rate_u, round(sum(f) / sum(n), 6) AS pooled_f FROM p GROUP BY 1")
 def posture_rates(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y")).agg(

@@ -107,6 +107,18 @@ def segment_items(lines: Sequence[str]) -> dict[str, str]:
     return {k: "\n".join(lines[i:e]).strip() for (i, k), e in zip(starts, ends, strict=True)}
 
 
+#: Forms that are one section, and its key.
+WHOLE = {"8-K": "8K_FULL", "6-K": "6K_FULL", "20-F": "20F_FULL", "DEF 14A": "PROXY_FULL"}
+
+
+def whole_documents(filings: DataFrame, form: str, text: str) -> DataFrame:
+    """filings of the WHOLE forms with item_key and section_text: their text in one section; blank ones have none."""
+    from pyspark.sql import functions as F
+
+    key = F.element_at(F.create_map(*[F.lit(x) for pair in WHOLE.items() for x in pair]), F.col(form))
+    return filings.where(F.col(form).isin(*WHOLE) & (F.trim(text) != "")).withColumn("item_key", key).withColumn("section_text", F.col(text)).drop(text)
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """Files as rows (path, content), for parsers of compressed filings."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
