@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import finance_queries, firm_queries, model_queries, panel_queries, relational, text_queries  # noqa: E402, F401  they register themselves
+from . import finance_queries, firm_queries, mention_queries, model_queries, panel_queries, relational, text_queries  # noqa: E402, F401  they register themselves
