@@ -11,9 +11,9 @@ therefore the regularized one (minimum regularized covariance determinant): the
 same way, weighs as much as PRIOR rows of the group. A variance under its floor is raised to it; statistics that are zero
 in most documents (symbols, repeated lines) would otherwise make any document that has them an outlier.
 
-The H share is exact: distances are counted in bands, and the band in which the share ends enters with the fraction that
-is missing. Per-row data never leave their partition: a step shuffles counts per group, band and task and then one row of sums
-per group and task, so a group that holds a third of all rows costs what any other does.
+The H share is exact: rows are summed by bands of distance, and the band in which the share ends enters with the
+fraction that is missing. Per-row data never leave their partition: a step is one scan that shuffles one row of sums per
+group, band and task (130 bands at most), so a group that holds a third of all rows costs what any other does.
 
 Edge cases: a null text has no words and counts as empty; an empty text fails the base rules (under 50 words); a text may
 be as long as a string can be, its words and windows are arrays of its row; null lang or source forms a group of its own;
@@ -23,7 +23,6 @@ equal rows get equal verdicts; an empty table gives no rows. Input columns other
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +37,8 @@ SYMBOL = r"[#*$%&|<>]"
 H, PRIOR = 0.75, 60.0
 #: Starts of a group, steps that all of them get, most steps after that, and the change of the log-determinant that ends them.
 STARTS, TRIAL, STEPS, SETTLED = 3, 2, 30, 1e-3
-#: Bands of squared distance per doubling.
-BANDS = 16
+#: Bands of squared distance per doubling, and the first and last of them; what is nearer or further is one band each.
+BANDS, LOWEST, HIGHEST = 16, -53, 76
 #: Share of good documents, were their statistics normal, that the test would reject.
 TAIL = 1e-5
 #: Least standard deviation of each transformed statistic.
@@ -167,23 +166,18 @@ def _starts(thin: DataFrame) -> DataFrame:
 
 
 def _factor(params: DataFrame) -> DataFrame:
-    """Adds l_* (the Cholesky factor of c_*) and ld (the log of its determinant)."""
+    """Adds l_* (the Cholesky factor of c_*) and ld (the log of its determinant), each column from those before it."""
+    steps = []
     for f, g in PAIRS:
-        rest = F.col(f"c_{f}_{g}")
-        for k in FEATURES[: FEATURES.index(g)]:
-            rest = rest - F.col(f"l_{f}_{k}") * F.col(f"l_{g}_{k}")
-        params = params.withColumn(f"l_{f}_{g}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if f == g else rest / F.col(f"l_{g}_{g}"))
-    return params.withColumn("ld", 2 * reduce(Column.__add__, [F.log(F.col(f"l_{f}_{f}")) for f in FEATURES]))
+        rest = " - ".join([f"c_{f}_{g}", *[f"l_{f}_{k} * l_{g}_{k}" for k in FEATURES[: FEATURES.index(g)]]])
+        steps.append(f"sqrt(greatest({rest}, 1e-12D)) AS l_{f}_{g}" if f == g else f"({rest}) / l_{g}_{g} AS l_{f}_{g}")
+    return params.selectExpr("*", *steps, f"2 * ({' + '.join(f'ln(l_{f}_{f})' for f in FEATURES)}) AS ld")
 
 
 def _distance(df: DataFrame) -> DataFrame:
     """Adds d2, solving the triangular system by forward substitution; df carries its group's m_ and l_ columns."""
-    for i, f in enumerate(FEATURES):
-        z: Column = F.col(f) - F.col(f"m_{f}")
-        for g in FEATURES[:i]:
-            z = z - F.col(f"l_{f}_{g}") * F.col(f"__z_{g}")
-        df = df.withColumn(f"__z_{f}", z / F.col(f"l_{f}_{f}"))
-    return df.withColumn("d2", reduce(Column.__add__, [F.col(f"__z_{f}") * F.col(f"__z_{f}") for f in FEATURES])).drop(*[f"__z_{f}" for f in FEATURES])
+    solved = [f"({' - '.join([f'({f} - m_{f})', *[f'l_{f}_{g} * __z_{g}' for g in FEATURES[:i]]])}) / l_{f}_{f} AS __z_{f}" for i, f in enumerate(FEATURES)]
+    return df.selectExpr("*", *solved, f"{' + '.join(f'__z_{f} * __z_{f}' for f in FEATURES)} AS d2").drop(*[f"__z_{f}" for f in FEATURES])
 
 
 def _join(left: DataFrame, right: DataFrame, rows: int, how: str = "inner", keys: tuple[str, ...] = ("grp",)) -> DataFrame:
@@ -194,26 +188,22 @@ def _join(left: DataFrame, right: DataFrame, rows: int, how: str = "inner", keys
 def _step(thin: DataFrame, params: DataFrame, rows: int, prior: dict[str, float] | None) -> DataFrame:
     """One concentration step of every (group, start) in params; `was` is the log-determinant before it."""
     par = params.select("grp", "start", "ld", *[c for c in params.columns if c[:2] in ("m_", "l_")])
-    near = _distance(_join(thin, par, rows)).withColumn("band", F.floor(BANDS * F.log2(F.col("d2") + 1e-3)))
-    bands = near.groupBy("grp", "start", "band").agg(F.count(F.lit(1)).alias("n"))
-    own = Window.partitionBy("grp", "start")
-    quota = H * F.sum("n").over(own) - (F.sum("n").over(own.orderBy("band")) - F.col("n"))
-    last = bands.withColumn("w", F.least(quota / F.col("n"), F.lit(1.0))).where("w > 0").groupBy("grp", "start").agg(F.max(F.struct("band", "w")).alias("last"))
-    kept = _join(near, last, rows, keys=("grp", "start")).where(F.col("band") <= F.col("last.band"))
-    kept = kept.withColumn("w", F.when(F.col("band") == F.col("last.band"), F.col("last.w")).otherwise(1.0))
-    sums = kept.groupBy("grp", "start").agg(
-        F.first("ld").alias("was"), F.sum("w").alias("n"),
-        *[F.sum(F.col("w") * F.col(f)).alias(f"s_{f}") for f in FEATURES], *[F.sum(F.col("w") * F.col(f) * F.col(g)).alias(f"s_{f}_{g}") for f, g in PAIRS],
-    )
-    mean = lambda f: F.col(f"s_{f}") / F.col("n")
-    m = {f: mean(f) for f in FEATURES}
-    c = {(f, g): CONSISTENCY * (F.col(f"s_{f}_{g}") / F.col("n") - mean(f) * mean(g)) for f, g in PAIRS}
+    band = F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.floor(BANDS * F.log2(F.col("d2") + 1e-3))))
+    near = _distance(_join(thin, par, rows)).withColumn("band", band)
+    terms = {"n": "1.0D"} | {f"s_{f}": f for f in FEATURES} | {f"s_{f}_{g}": f"{f} * {g}" for f, g in PAIRS}
+    bands = near.groupBy("grp", "start", "band").agg(F.max("ld").alias("was"), *[F.expr(f"sum({x}) AS {k}") for k, x in terms.items()])
+    # the rows of a group up to the band's, less its own, are those that the bands before it take
+    own, upto = "OVER (PARTITION BY grp, start)", "OVER (PARTITION BY grp, start ORDER BY band)"
+    kept = bands.selectExpr("*", f"least(({H}D * sum(n) {own} - (sum(n) {upto} - n)) / n, 1.0D) AS w").where("w > 0")
+    sums = kept.groupBy("grp", "start").agg(F.max("was").alias("was"), *[F.expr(f"sum(w * {k}) AS {k}") for k in terms])
+    m = {f: f"s_{f} / n" for f in FEATURES}
+    c = {(f, g): f"{CONSISTENCY!r}D * (s_{f}_{g} / n - s_{f} / n * s_{g} / n)" for f, g in PAIRS}
+    share = f"({PRIOR}D / (n / {H}D + {PRIOR}D))"
     if prior is not None:
-        share = PRIOR / (F.col("n") / H + PRIOR)
-        m = {f: share * prior[f"m_{f}"] + (1 - share) * v for f, v in m.items()}
-        c = {(f, g): share * prior[f"c_{f}_{g}"] + (1 - share) * v for (f, g), v in c.items()}
-    c = {(f, g): F.greatest(v, F.lit(FLOORS[f] ** 2)) if f == g else v for (f, g), v in c.items()}
-    return _factor(sums.select("grp", "start", "was", *[v.alias(f"m_{f}") for f, v in m.items()], *[v.alias(f"c_{f}_{g}") for (f, g), v in c.items()]))
+        m = {f: f"{share} * {prior[f'm_{f}']!r}D + (1 - {share}) * ({v})" for f, v in m.items()}
+        c = {(f, g): f"{share} * {prior[f'c_{f}_{g}']!r}D + (1 - {share}) * ({v})" for (f, g), v in c.items()}
+    c = {(f, g): f"greatest({v}, {FLOORS[f] ** 2!r}D)" if f == g else v for (f, g), v in c.items()}
+    return _factor(sums.selectExpr("grp", "start", "was", *[f"{v} AS m_{f}" for f, v in m.items()], *[f"{v} AS c_{f}_{g}" for (f, g), v in c.items()]))
 
 
 def _concentrate(thin: DataFrame, prior: dict[str, float] | None = None) -> DataFrame:
