@@ -11,6 +11,7 @@ from ..operators import joins as J
 from ..operators import ranks as R
 from ..operators import windows as W
 from ..session import table
+from ..sources.catalog import with_table_row
 from .registry import query
 
 def _day() -> Column:
@@ -30,7 +31,7 @@ def scan_parts_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, 'documents.parquet' AS source_file, CAST(row_number() OVER () - 1 AS BIGINT) AS source_row FROM documents")
 def scan_with_row_index(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.lit("documents.parquet").alias("source_file"), F.col("_metadata.row_index").alias("source_row"))
+    return with_table_row(spark, f"{d}/documents.parquet").select("doc_id", F.lit("documents.parquet").alias("source_file"), "source_row")
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

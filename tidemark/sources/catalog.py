@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: From narrow to wide; a column that differs between parts is read as the widest of its types, else as string.
@@ -131,6 +131,19 @@ def with_row_index(spark: SparkSession, path: str) -> DataFrame:
     return df.select("*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("source_row"))
 
 
+def with_table_row(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet rows with source_row, from 0 through the whole table: its files in byte order of their paths, rows as they lie in a file."""
+    df = spark.read.parquet(path)
+    file = F.col("_metadata.file_path")
+    # paths come percent-encoded, which sorts unlike the names themselves; a plus sign stands for itself
+    name = F.url_decode(F.replace("__file", F.lit("+"), F.lit("%2B")))
+    earlier = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    files = df.groupBy(file.alias("__file")).agg(F.count(F.lit(1)).alias("__n"))
+    starts = files.select("__file", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))  # one row a file
+    rows = df.select("*", file.alias("__file"), F.col("_metadata.row_index").alias("__row")).join(F.broadcast(starts), "__file")
+    return rows.select(*df.columns, (F.col("__start") + F.col("__row")).alias("source_row"))
+
+
 def compare_snapshots(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str, effect: float) -> DataFrame:
     """state of each key: added, dropped, flipped (sign), changed (over `effect`, relative) or same."""
     a, b = before.select(*keys, F.col(value).alias("before"), F.lit(1).alias("__a")), after.select(*keys, F.col(value).alias("after"), F.lit(1).alias("__b"))
